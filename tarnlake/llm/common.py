@@ -99,3 +99,63 @@ def components(pairs: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         if tuple(seen) == before and seen[0] == seen[2]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = tuple(seen)
+
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser, in place."""
+    h ^= h >> np.uint64(30)
+    h *= _MIX[0]
+    h ^= h >> np.uint64(27)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(31)
+    return h
+
+
+_BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        p = np.full(max(n, 1 << 20), np.uint64(base))
+        p[0] = 1
+        _POWERS[base] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[base]
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of the words, which end at white space and at the ends of their text."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = ~_IS_SPACE[raw]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(raw))]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
+    n = len(raw)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODES[raw] * _powers(_BASE, n + 1)[:n], out=sums[1:])
+    inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    return mix(h + (ends - starts).astype(np.uint64))
+
+
+def lower_ascii(raw: np.ndarray) -> np.ndarray:
+    return _LOWER[raw]

@@ -108,13 +108,13 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def rank_rules(df: DataFrame, rules: list[Rule], sample_fraction: float = 0.02, max_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
+def rank_rules(sample: DataFrame, rules: list[Rule], max_rows: int = 2000) -> list[tuple[Rule, float, float]]:
     """(rule, seconds per row, rejected share), best rejection per cost first.
 
     ``max_rows`` bounds the sample that costs and selectivities are measured on. It steers only the
     order of evaluation, never a verdict.
     """
-    sample = settle(df.sample(fraction=sample_fraction, seed=seed).limit(max_rows), "rules")
+    sample = settle(sample.limit(max_rows), "rules")
     rows = sample.count()
     if not rows:
         return [(r, 0.0, 0.0) for r in rules]
@@ -133,10 +133,10 @@ def rank_rules(df: DataFrame, rules: list[Rule], sample_fraction: float = 0.02,
     return sorted(seen, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
-def cascade(df: DataFrame, rules: list[Rule], measure_on: DataFrame | None = None) -> DataFrame:
+def cascade(df: DataFrame, rules: list[Rule], sample: DataFrame | None = None, fraction: float = 0.02, seed: int = 7) -> DataFrame:
     """Add ``kept``: no rule rejects the row. The rules run in measured order and stop at the first that rejects."""
     verdict = F.lit(True)
-    for r, _, _ in reversed(rank_rules(df if measure_on is None else measure_on, rules)):
+    for r, _, _ in reversed(rank_rules(df.sample(fraction, seed) if sample is None else sample, rules)):
         verdict = F.when(F.coalesce(r.fails, F.lit(False)), F.lit(False)).otherwise(verdict)
     return df.withColumn("kept", verdict)
 
@@ -149,4 +149,4 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     rules = [Rule("base", F.col("base_failed")), *default_rules(text)]
     # The sample is drawn from the raw table, so that measuring does not compute the statistics of all rows.
     few = word_statistics(docs.sample(fraction=0.02, seed=7), text).withColumn("base_failed", base)
-    return cascade(stats, rules, measure_on=few)
+    return cascade(stats, rules, sample=few)

@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
-from .common import table
+from . import packing, pii, quality_model, quality_rules, token_counts, toxicity
+from .common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 4) != 2)
+    d = quality_model.score(docs, model)
+    return d.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     d = d.select("doc_id", "spans", pii.span_digest(kinds=pii.BASE).alias("_base"))
@@ -20,13 +27,28 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2("_base", 256).alias("base_sha256"), pii.span_digest().alias("spans"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 3) != 1)
+    d = toxicity.score(docs, model)
+    return d.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op5_toxicity, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
