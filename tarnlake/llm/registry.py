@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, packing, pii, quality_model, quality_rules, token_counts, toxicity
+from . import extraction, jaccard_join, packing, pii, quality_model, quality_rules, token_counts, toxicity
 from .common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -52,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op5_toxicity, op8_extraction, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op5_toxicity, op6_jaccard_join, op8_extraction, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
