@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard_join, packing, pii, quality_model, quality_rules, token_counts, toxicity
+from . import extraction, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
 from .common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 3) != 1)
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op5_toxicity, op6_jaccard_join, op8_extraction, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op4_substring_dedup, op5_toxicity, op6_jaccard_join, op8_extraction, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
