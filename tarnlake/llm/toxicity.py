@@ -30,7 +30,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Bytes to an n-gram; accented letters take two.
 GRAMS = (4, 6, 8)
-PER_CLASS = 2500
+PER_CLASS = 1500
 #: Buckets that keep a weight.
 KEPT = 4096
 SLAB = 4 << 20
@@ -117,22 +117,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, l2: float = 2
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
-    which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows).astype(np.int64)
-    df = np.bincount(cols, minlength=BUCKETS)
-    live = np.flatnonzero(df >= 3)
-    index = np.full(BUCKETS, -1)
-    index[live] = np.arange(len(live))
-    cols = index[cols]
-    which, cols = which[cols >= 0], cols[cols >= 0]
-    pos = np.bincount(cols, y[which], len(live)) + alpha
-    neg = np.bincount(cols, 1 - y[which], len(live)) + alpha
+    pos, neg = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
+    for r, k in zip(rows, y, strict=True):
+        (pos if k else neg)[r] += 1
     ratio = np.log(pos / (y.sum() + 2 * alpha)) - np.log(neg / ((1 - y).sum() + 2 * alpha))
     # Only buckets whose ratio stands out from chance can separate the classes in long texts.
-    chance = np.sqrt(1 / pos + 1 / neg)
-    ratio[np.abs(ratio) < 2.5 * chance] = 0
-    some = ratio[cols] != 0
-    which, cols = which[some], cols[some]
+    useful = (np.abs(ratio) >= 2.5 * np.sqrt(1 / pos + 1 / neg)) & (pos + neg >= 3)
+    live = np.flatnonzero(useful)
+    index = np.zeros(BUCKETS, np.int32)
+    index[live] = np.arange(len(live))
+    ratio = ratio[live]
+    kept = [index[r[useful[r]]] for r in rows]
+    which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
+    cols = np.concatenate(kept)
     scale = ratio[cols]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, b = _descend(which, cols, scale, y, weight, len(live), l2, rounds)
