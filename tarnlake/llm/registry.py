@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
+from . import decontamination, extraction, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
 from .common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -60,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op4_substring_dedup, op5_toxicity, op6_jaccard_join, op8_extraction, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_token_counts, op4_substring_dedup, op5_toxicity, op6_jaccard_join, op7_decontamination, op8_extraction, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
