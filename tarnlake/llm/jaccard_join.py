@@ -102,12 +102,14 @@ def set_keys(g: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(words: int):
+def _sets(words: int, t: int):
+    most = _partner(LIGHT_MOST, t)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, bounds in slabs(batches, "text", SLAB):
             g, ends = shingle_sets(raw, bounds, words)
             n = np.diff(ends)
-            small = n <= _partner(LIGHT_MOST)
+            small = n <= most
             tokens = [g[a:b].view(np.int64) if s else None for a, b, s in zip(ends[:-1], ends[1:], small, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_keys(g, ends)), pa.array(tokens, pa.list_(pa.int64()))],
@@ -122,7 +124,7 @@ def _partner(n: int, t: int = THRESHOLD) -> int:
     return 100 * n // t
 
 
-def _blocks(words: int, ranges: int, light: int):
+def _blocks(words: int, ranges: int):
     """Packed shingles by hash range: of each class in it the key, the set's size, how many and which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,30 +215,34 @@ def _shared(ranges: int):
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(t: int):
     """Classes that can still link: size, shared shingles (as bytes) and those of them in the rarest-first prefix."""
-    for _, rows in _by_range(batches, ("q", "p", "keys", "sizes", "counts", "tokens", "df")):
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-        key = np.repeat(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), counts)
-        size = np.repeat(np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]), counts).astype(np.int64)
-        token = np.concatenate([_unpack6(r["tokens"]) | np.uint64(r["p"] << 48) for r in rows])
-        df = np.concatenate([np.frombuffer(r["df"], np.uint16) for r in rows])
-        rows.clear()
-        order = np.lexsort((token, df, key))
-        token, key, size = token[order].view(np.int64), key[order], size[order]
-        out = {k: [] for k in ("h", "n", "tokens", "prefix", "skipped")}
-        for a, b in runs(key):
-            n = int(size[a])
-            alone = n - (b - a)  # shingles of this class only: they come first in the order
-            length = n - need(n, n * THRESHOLD // 100 if n * THRESHOLD % 100 == 0 else n * THRESHOLD // 100 + 1) + 1
-            if alone < length:
-                out["h"].append(int(key[a]))
-                out["n"].append(n)
-                out["tokens"].append(np.sort(token[a:b]).tobytes())
-                out["prefix"].append(token[a : a + length - alone])
-                out["skipped"].append(alone)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_range(batches, ("q", "p", "keys", "sizes", "counts", "tokens", "df")):
+            counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+            key = np.repeat(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), counts)
+            size = np.repeat(np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]), counts).astype(np.int64)
+            token = np.concatenate([_unpack6(r["tokens"]) | np.uint64(r["p"] << 48) for r in rows])
+            df = np.concatenate([np.frombuffer(r["df"], np.uint16) for r in rows])
+            rows.clear()
+            order = np.lexsort((token, df, key))
+            token, key, size = token[order].view(np.int64), key[order], size[order]
+            out = {k: [] for k in ("h", "n", "tokens", "prefix", "skipped")}
+            for a, b in runs(key):
+                n = int(size[a])
+                alone = n - (b - a)  # shingles of this class only: they come first in the order
+                length = n - need(n, -(-t * n // 100), t) + 1
+                if alone < length:
+                    out["h"].append(int(key[a]))
+                    out["n"].append(n)
+                    out["tokens"].append(np.sort(token[a:b]).tobytes())
+                    out["prefix"].append(token[a : a + length - alone])
+                    out["skipped"].append(alone)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return run
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -255,23 +261,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: int = THRESHOLD) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
-def light_keys(n: int, t: int = THRESHOLD, light: int = LIGHT_MOST) -> list[tuple[int, int, int]]:
+def light_keys(n: int, light: int = LIGHT_MOST, t: int = THRESHOLD) -> list[tuple[int, int, int]]:
     """(smaller size, larger size, size of the common subset) for each partner size of a set, if the smaller is light."""
     sizes = [m for m in range(-(-t * n // 100), _partner(n, t) + 1) if m > 0 and min(m, n) <= light]
     return [(min(m, n), max(m, n), need(m, n, t)) for m in sizes]
 
 
-def _light_cost(n: int, light: int) -> int:
-    return sum(comb(n, c) for _, _, c in light_keys(n, light=light))
+def _light_cost(n: int, light: int, t: int) -> int:
+    return sum(comb(n, c) for _, _, c in light_keys(n, light, t))
 
 
-def _subsets(light: int):
+def _subsets(light: int, t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [] for k in ("h", "n", "low", "high", "key")}
             for h, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "tokens")), strict=True):
                 v = mix(np.array(tokens, np.int64).view(np.uint64) * _ODD[0] + _ODD[2])
-                for low, high, c in light_keys(n, light=light):
+                for low, high, c in light_keys(n, light, t):
                     left = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
                     key = mix(v.sum(dtype=np.uint64) - v[left].sum(axis=1, dtype=np.uint64) + np.array([low * 1000 + high], np.uint64) * _ODD[1])
                     for k, x in (("h", h), ("n", n), ("low", low), ("high", high)):
@@ -282,21 +288,21 @@ def _subsets(light: int):
     return run
 
 
-def light_links(sets: DataFrame, light: int) -> DataFrame:
+def light_links(sets: DataFrame, light: int, t: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between small sets: each is linked with the smallest class that shares a subset with it."""
-    few = sets.where((F.col("n") > 0) & (F.col("n") <= _partner(light))).select("h", "n", "tokens").dropDuplicates(["h"])
-    s = few.mapInArrow(_subsets(light), "h long, n long, low long, high long, key long").where("n = low or n = high")
+    few = sets.where((F.col("n") > 0) & (F.col("n") <= _partner(light, t))).select("h", "n", "tokens").dropDuplicates(["h"])
+    s = few.mapInArrow(_subsets(light, t), "h long, n long, low long, high long, key long").where("n = low or n = high")
     by = ["low", "high", "key"]
     best = s.groupBy(by).agg(F.min(F.when(F.col("n") == F.col("low"), F.col("h"))).alias("x"), F.min(F.when(F.col("n") == F.col("high"), F.col("h"))).alias("y")).where("x is not null and y is not null")
     return s.join(best, by).select(F.col("h").alias("a"), F.explode(F.array(F.when(F.col("n") == F.col("low"), F.col("y")), F.when(F.col("n") == F.col("high"), F.col("x")))).alias("b")).where("b is not null and a <> b").distinct()
 
 
-def choose_light(sizes: dict[int, int], list_length: float) -> int:
+def choose_light(sizes: dict[int, int], list_length: float, t: int = THRESHOLD) -> int:
     """The size up to which enumerating subsets is estimated to cost less than scanning lists and verifying."""
 
     def cost(light: int) -> float:
-        small = sum(k * _light_cost(n, light) for n, k in sizes.items() if n <= _partner(light))
-        return small + sum(k * (n - need(n, n) + 1) * list_length * n for n, k in sizes.items() if n > light)
+        small = sum(k * _light_cost(n, light, t) for n, k in sizes.items() if n <= _partner(light, t))
+        return small + sum(k * (n - need(n, n, t) + 1) * list_length * n for n, k in sizes.items() if n > light)
 
     return min(range(1, LIGHT_MOST + 1), key=cost)
 
@@ -306,20 +312,20 @@ def links(docs: DataFrame, words: int = WORDS, t: int = THRESHOLD) -> tuple[Data
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = settle(docs.mapInArrow(_sets(words), f"doc_id {kind}, n long, h long, tokens array<long>"), "sets")
+    rows = settle(docs.mapInArrow(_sets(words, t), f"doc_id {kind}, n long, h long, tokens array<long>"), "sets")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = min(max(1, -(-total // RANGE)), 1 << 15)
     known = docs.where("doc_id is not null")
-    blocks = known.mapInArrow(_blocks(words, ranges, 0), _BLOCK)
+    blocks = known.mapInArrow(_blocks(words, ranges), _BLOCK)
     shared = blocks.repartition(max(ranges, 2), "p").mapInArrow(_shared(ranges), "q int, p int, keys binary, sizes binary, counts binary, tokens binary, df binary")
-    heavy = settle(shared.repartition(max(ranges, 2), "q").mapInArrow(_prefixes, "h long, n long, tokens binary, prefix array<long>, skipped long"), "prefixes")
+    heavy = settle(shared.repartition(max(ranges, 2), "q").mapInArrow(_prefixes(t), "h long, n long, tokens binary, prefix array<long>, skipped long"), "prefixes")
 
-    few = rows.where(F.col("doc_id").isNotNull() & F.col("n").between(1, _partner(LIGHT_MOST)))
+    few = rows.where(F.col("doc_id").isNotNull() & F.col("n").between(1, _partner(LIGHT_MOST, t)))
     sizes = {r["n"]: r["k"] for r in few.groupBy("n").agg(F.countDistinct("h").alias("k")).collect()}
     lists = heavy.select("h", "n", F.posexplode("prefix").alias("i", "token"), "skipped").select("token", "h", "n", (F.col("i") + F.col("skipped")).alias("pos"))
     length = lists.groupBy("token").count().agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("x")).first()["x"]
-    light = choose_light(sizes, length or 1.0)
-    proven = settle(light_links(few, light), "light")
+    light = choose_light(sizes, length or 1.0, t)
+    proven = settle(light_links(few, light, t), "light")
 
     # Rows of a list still compare if both can reach the overlap from their places on.
     lists = settle(lists.where(F.col("n") > light).withColumn("rest", F.col("n") - F.col("pos")), "lists")

@@ -15,9 +15,9 @@ def shingles(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if len(w) >= k else frozenset([tuple(w)])
 
 
-def brute(rows, t=85):
+def brute(rows, t=85, k=4):
     """{doc_id: (set size, smallest reachable doc_id)} by comparing all sets that share a shingle."""
-    sets = {i: shingles(x) for i, x in rows}
+    sets = {i: shingles(x, k) for i, x in rows}
     where = defaultdict(set)
     for i, s in sets.items():
         for g in s:
@@ -68,6 +68,8 @@ def test_families(spark, seed):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(jj.join_components(df)) == brute(rows)
+    if seed == 1:
+        assert got(jj.join_components(df, words=5, t=80)) == brute(rows, 80, 5)
 
 
 def test_whole_table(spark, sf):
