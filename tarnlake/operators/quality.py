@@ -72,6 +72,8 @@ def _rows(expectations: Iterable[Expectation], severities: Iterable[str] | None)
 def checks(df: DataFrame, expectations: list[Expectation]) -> DataFrame:
     """A row to each rule with a column condition: check_name, severity, failed_rows, total_rows, passed. One aggregation."""
     use = [e for e in expectations if e.row is not None or isinstance(e.table, Column)]
+    if not use:
+        return df.sparkSession.createDataFrame([], "check_name string, severity string, failed_rows bigint, total_rows bigint, passed boolean")
     aggs = [(F.count_if(~_ok(e)) if e.row is not None else F.when(F.coalesce(e.table, F.lit(False)), F.lit(0)).otherwise(F.count("*"))).cast("long").alias(f"f{i}") for i, e in enumerate(use)]
     tests = [F.coalesce(e.table, F.lit(False)).alias(f"p{i}") for i, e in enumerate(use) if e.row is None]
     one = df.agg(F.count("*").alias("n"), *aggs, *tests)

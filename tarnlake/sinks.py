@@ -49,7 +49,7 @@ def create_table_as(df: DataFrame, name: str, partition_by: list[str] | None = N
 
 
 class VersionedTable:
-    """A dataset in versions ``_v=<n>-<id>`` and a pointer file that names the current one.
+    """A dataset in versions ``version-<n>-<id>`` and a pointer file that names the current one.
 
     A reader sees the old or the new version as a whole; rewriting from the table itself is safe, as
     plain Parquet paths cannot be overwritten while they are read. Works on any Hadoop file system.
@@ -63,10 +63,10 @@ class VersionedTable:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def current(self) -> str | None:
-        fs, p = self._at("_current")
+        fs, p = self._at("CURRENT")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.path}/_current", wholetext=True).first()[0].strip()
+        return self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0].strip()
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -74,13 +74,13 @@ class VersionedTable:
 
     def replace(self, df: DataFrame) -> str:
         before = self.current()
-        version = f"_v={int(before[3:].split('-')[0]) + 1 if before else 1}-{uuid.uuid4().hex[:8]}"
+        version = f"version-{int(before.split('-')[1]) + 1 if before else 1}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{version}")
-        fs, new = self._at(f"_next-{uuid.uuid4().hex[:8]}")
+        fs, new = self._at(f"NEXT-{uuid.uuid4().hex[:8]}")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
-        _, pointer = self._at("_current")
+        _, pointer = self._at("CURRENT")
         # Rename over the old pointer where the file system can; else remove it just before.
         if not fs.rename(new, pointer):
             fs.delete(pointer, False)
@@ -92,7 +92,7 @@ class VersionedTable:
         keep, n = self.current(), 0
         fs, top = self._at("")
         for s in fs.listStatus(top):
-            if s.isDirectory() and s.getPath().getName().startswith("_v=") and s.getPath().getName() != keep:
+            if s.isDirectory() and s.getPath().getName().startswith("version-") and s.getPath().getName() != keep:
                 fs.delete(s.getPath(), True)
                 n += 1
         return n

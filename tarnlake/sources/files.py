@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None, row_tag:
             from .avro import read_avro
 
             return read_avro(spark, path)
-    except (PySparkException, ValueError) as e:
+    except (PySparkException, Py4JJavaError, ValueError) as e:
         raise SchemaError(f"{path}: {e}") from e
     raise NonRetryableError(f"unknown format: {kind}")
 
@@ -131,7 +132,7 @@ class FileIngestor:
                 raise SchemaError(f"missing columns: {', '.join(missing)}")
             rows = d.count()
             write_zone(d.withColumns({"_source_file": F.lit(name), "_ingested_checksum": F.lit(sha)}), self.root, "bronze", self.dataset, mode="append")
-        except (LakeError, PySparkException) as e:
+        except (LakeError, PySparkException, Py4JJavaError) as e:
             if sha:
                 self.store.mark_file(name, sha, "QUARANTINED")
             return FileResult(path, "QUARANTINED", reason=str(e))

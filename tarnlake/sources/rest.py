@@ -75,8 +75,9 @@ class _Page(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.since = options.get("updatedSince")
-        self.make = lambda: ApiClient(options["url"], options.get("token", ""), float(options.get("timeout", 10)), int(options.get("pageSize", 100)), int(options.get("attempts", 5)), float(options.get("baseDelay", 0.5)))
+        o = {k.lower(): v for k, v in options.items()}
+        self.since = o.get("updatedsince")
+        self.make = lambda: ApiClient(o["url"], o.get("token", ""), float(o.get("timeout", 10)), int(o.get("pagesize", 100)), int(o.get("attempts", 5)), float(o.get("basedelay", 0.5)))
 
     def partitions(self) -> list[InputPartition]:
         """The first page tells how many there are; the data is fetched by the tasks."""
