@@ -7,11 +7,13 @@ executor never costs more than the stage it works on.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import decontamination, jaccard_join, packing, pii, toxicity
-from tarnlake.llm.common import bucket_of, settle, table
+from tarnlake.llm.common import bucket_of, scratch, settle, shared_dir, table
 
 #: Toxicity score from which a document is rejected.
 REJECT = 0.7
@@ -66,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; the intermediate tables of the other stages are deleted as they end."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        path = f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}/stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

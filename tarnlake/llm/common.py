@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,40 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     read the result several times do not compute it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnlake-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for held in _HELD[-1:]:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``settle`` writes inside the block when the block ends.
+
+    Results that are still read afterwards are settled outside of it, or inside of an outer block.
+    """
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        for path in _HELD.pop():
+            _delete(spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; lazy results that read them are lost."""
+    _delete(spark, f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bucket_of(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the identifier's decimal text, modulo ``mod``: the fixed folds of the labelled tables."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

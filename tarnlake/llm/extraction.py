@@ -44,6 +44,7 @@ CHROME_WORDS = frozenset(
     " cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing"
     " social related recommended recommendations widget form search pagination pager legal copyright disclaimer hidden tags byline".split()
 )
+NO_ARTICLE = frozenset("ad ads advert comment comments reply replies promo sponsored related recommended teaser sidebar widget".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "chrome", "place", "heading")
@@ -181,7 +182,7 @@ class Block:
     words: int
     links: float
     chrome: bool
-    article: bool
+    article: int
     heading: bool
 
 
@@ -189,14 +190,14 @@ class Block:
 class _Frame:
     tag: str
     chrome: bool
-    #: 2 inside an article or main element, 1 inside one that is named like it.
+    #: 3 inside an article element, 2 inside main, 1 inside an element that is named like one.
     article: int
     opaque: bool
     heading: bool
 
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|aria-label|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -204,28 +205,31 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 def _frame(tag: str, attributes: str, outer: _Frame) -> _Frame:
     chrome, article = outer.chrome, outer.article
-    if tag in CHROME_TAGS and not (tag == "header" and article == 2):
+    if tag in CHROME_TAGS and not (tag == "header" and article > 1):
         chrome = True
-    if tag in ("article", "main"):
-        article = 2
-    if attributes and tag not in ("html", "body", "article", "main"):
+    own = tag in ("article", "main")
+    if own:
+        article = 3 if tag == "article" else max(article, 2)
+    # Names on a page's own article say what stands beside it; an article in an article is a comment or a teaser.
+    words = CHROME_WORDS if not own or outer.article == 3 else NO_ARTICLE
+    if attributes and tag not in ("html", "body"):
         for name, *value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(value)
-            if name in ("class", "id"):
+            if name in ("class", "id", "aria-label"):
                 for token in value.split():
                     parts = {p.lower() for p in _PART.findall(token)}
                     if parts & {"has", "with", "no", "without"}:
                         continue
-                    if parts & CHROME_WORDS:
+                    if parts & words:
                         chrome = True
                     elif parts & ARTICLE_WORDS:
                         article = article or 1
             elif name == "role":
                 chrome = chrome or value.lower() in CHROME_ROLES
-                article = 2 if value.lower() in ("main", "article") else article
+                article = {"article": 3, "main": max(article, 2)}.get(value.lower(), article)
             elif name == "style":
                 chrome = chrome or bool(_HIDDEN.search(value))
-            elif name == "hidden" or value.lower() == "true":
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 chrome = True
     return _Frame(tag, chrome, article, outer.opaque or tag in OPAQUE_TAGS, outer.heading or (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()))
 

@@ -104,7 +104,7 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 5 * F.greatest(F.lit(2), F.regexp_count(t, F.lit("\n")) + 1)),
         Rule("shouting", 10 * F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}{2,}+(?![\p{L}\p{N}])")) > 6 * n),
         Rule("few_letters", 2 * F.length(F.regexp_replace(t, r"\P{L}+", "")) < F.col("word_chars")),
-        Rule("bullet_lines", 10 * F.regexp_count(t, F.lit(r"(?m)^[ \t]*[-*•‣]")) > 9 * F.greatest(F.lit(2), F.regexp_count(t, F.lit("\n")) + 1)),
+        Rule("bullet_lines", 10 * F.regexp_count(t, F.lit(r"(?md)^[ \t]*[-*•‣]")) > 9 * F.greatest(F.lit(2), F.regexp_count(t, F.lit("\n")) + 1)),
     ]
 
 

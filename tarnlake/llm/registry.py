@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, extraction, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
@@ -13,11 +13,16 @@ from .common import bucket_of, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _held_out(mod: int, fold: int) -> Column:
+    """Whether the row is in the fold; a null doc_id is in none."""
+    return F.coalesce(bucket_of("doc_id", mod) == fold, F.lit(False)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 4) != 2)
     d = quality_model.score(docs, model)
-    return d.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return d.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 3) != 1)
     d = toxicity.score(docs, model)
-    return d.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return d.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +73,33 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_jaccard_join": _OP6, "op10_quality_rules": _OP10}
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_OP6 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT both_ways.a, r.c FROM r JOIN both_ways ON both_ways.b = r.id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, MIN(c) AS component_id FROM r GROUP BY 1) l USING (doc_id)
+"""
+_OP10 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS lines FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+k AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING COUNT(*) > 1),
+c AS (SELECT doc_id, COUNT(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN k USING (doc_id, g)) GROUP BY 1),
+s AS (SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, greatest(len(w), 1) AS n1, greatest(2, length(t) - length(replace(t, chr(10), '')) + 1) AS n_lines
+ FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars > 20 * n1 OR word_chars < 2 * n1 OR 10 * n_symbols > 3 * n1 OR 10 * n_dup_lines > 5 * n_lines
+ OR 10 * len(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+'), lambda x: regexp_full_match(x, '\p{{Lu}}{{2,}}'))) > 6 * n1
+ OR 2 * length(regexp_replace(t, '\P{{L}}+', '', 'g')) < word_chars OR 10 * len(regexp_extract_all(t, '(?m)^[ \t]*[-*•‣]')) > 9 * n_lines AS rejected FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected) AS kept FROM v
+"""

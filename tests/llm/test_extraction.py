@@ -40,6 +40,8 @@ def test_generated_pages(spark):
         (f"<ul><li><a>one</a><li><a>two</a></ul><div><h2>Title</h2><p>{LONG}</p><p>short one</p><p>{LONG}</p></div><div><a>x</a></div>", "\n\n".join(["Title", LONG.strip(), "short one", LONG.strip()])),
         ("<article><p title='a>b' class=x>in quotes</p><p>1 < 2 and <3</p></article>", "in quotes\n\n1 < 2 and <3"),
         ("<article><p>unclosed <a href=x>link<p>next", "unclosed link\n\nnext"),
+        (f"<main><h1>Site</h1><article class='post has-comments'><p>{LONG}</p><article class=comment><p>{LONG}</p></article></article><div>Share</div></main>", LONG.strip()),
+        (f"<article class=related><p>{LONG}</p></article><div role=main><p>kept {LONG}</p></div><div aria-label='Reader comments'>{LONG}</div>", f"kept {LONG.strip()}"),
         ("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>", "deep"),
     ],
 )
