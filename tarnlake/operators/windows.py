@@ -54,12 +54,36 @@ def first_last(df: DataFrame, partition: str, order: str, value: str, ties: Sequ
     return df.withColumns({"first_value": F.first(value, ignore_nulls).over(w), "last_value": F.last(value, ignore_nulls).over(w)})
 
 
-def percentiles(df: DataFrame, value: str, *ties: str, tiles: int = 4) -> DataFrame:
-    """Add ``pct_rank`` (rank - 1) / (n - 1), ``avg_pct`` (average rank / n) and ``quartile``.
+def percentiles(df: DataFrame, value: str, *ties: str, tiles: int = 4, ranges: int = 64) -> DataFrame:
+    """Add ``pct_rank`` (rank - 1) / (n - 1), ``avg_pct`` (average rank / n) and ``quartile`` over the whole table.
 
-    A global order needs one sorted partition; meant for aggregated rows, one to a key.
+    A window without partitions would sort the table in one task. Instead the values are cut at
+    approximate quantiles into ``ranges``, ranked within each, and shifted by the rows of the ranges
+    before; only one row to each range is ever broadcast. Nulls order last.
     """
-    w, strict = Window.orderBy(F.asc_nulls_last(value)), Window.orderBy(F.asc_nulls_last(value), *[F.asc_nulls_last(t) for t in ties])
-    peers, everyone = F.count("*").over(Window.partitionBy(value)), F.count("*").over(Window.partitionBy())
-    d = df.withColumns({"pct_rank": F.percent_rank().over(w), "_rank": F.rank().over(w), "quartile": F.ntile(tiles).over(strict)})
-    return d.withColumn("avg_pct", (F.col("_rank") + (peers - 1) / 2) / everyone).drop("_rank")
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)]).alias("c")).first()["c"]
+    cuts = sorted(set(cuts or ()))
+    kind = df.schema[value].dataType
+    part = F.when(F.col(value).isNull(), len(cuts) + 1).otherwise(
+        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind.simpleString()}>"), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    )
+    d = df.withColumn("_part", part)
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_k"))
+    everything = Window.partitionBy().orderBy("_part")  # over at most ``ranges`` + 1 rows
+    sizes = sizes.select(
+        "_part",
+        F.coalesce(F.sum("_k").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_k").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"),
+    )
+    w = Window.partitionBy("_part").orderBy(F.asc_nulls_last(value))
+    strict = Window.partitionBy("_part").orderBy(F.asc_nulls_last(value), *[F.asc_nulls_last(t) for t in ties])
+    d = d.withColumns({"_rank": F.rank().over(w), "_peers": F.count("*").over(Window.partitionBy("_part", value)), "_row": F.row_number().over(strict)})
+    d = d.join(F.broadcast(sizes), "_part").withColumns({"_rank": F.col("_rank") + F.col("_before"), "_row": F.col("_row") + F.col("_before")})
+    small, extra = F.expr(f"_n div {tiles}"), F.expr(f"_n % {tiles}")
+    tile = F.when(F.col("_row") <= extra * (small + 1), F.ceil(F.col("_row") / (small + 1))).otherwise(extra + F.ceil(F.try_divide(F.col("_row") - extra * (small + 1), small)))
+    return d.select(
+        *df.columns,
+        F.when(F.col("_n") > 1, (F.col("_rank") - 1) / (F.col("_n") - 1)).otherwise(0.0).alias("pct_rank"),
+        ((F.col("_rank") + (F.col("_peers") - 1) / 2) / F.col("_n")).alias("avg_pct"),
+        tile.cast("int").alias("quartile"),
+    )

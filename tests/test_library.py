@@ -55,6 +55,18 @@ def test_dedup_and_daily(sample):
     assert sum(r["txn_count"] for r in daily) == 4 and len(daily) == 4
 
 
+def test_percentiles_equal_global_windows(spark):
+    from pyspark.sql import Window
+
+    d = spark.range(300).select("id", F.when(F.col("id") % 31 != 0, (F.col("id") * 7 % 40).cast("double")).alias("v"))
+    for rows in (d, d.limit(3), d.limit(1), d.where("v is null")):
+        w, strict = Window.orderBy(F.asc_nulls_last("v")), Window.orderBy(F.asc_nulls_last("v"), "id")
+        want = rows.select("id", F.percent_rank().over(w).alias("p"), F.ntile(4).over(strict).alias("q"))
+        got = windows.percentiles(rows, "v", "id", ranges=8).select("id", F.col("pct_rank").alias("p"), F.col("quartile").alias("q"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert windows.percentiles(d.limit(0), "v", "id").count() == 0
+
+
 def test_joins(spark):
     left, right = (spark.createDataFrame([(x,) for x in v], "k string") for v in (["A1", "A2", "A9", None], ["A1", "A2", "A2", None]))
     assert [r["k"] for r in joins.anti_join(left.dropna(), right, "k").collect()] == ["A9"]
