@@ -253,9 +253,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: int = THRESHOLD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for na, ta, nb, tb in zip(*(batch.column(c).to_pylist() for c in ("na", "ta", "nb", "tb")), strict=True):
-                o = len(np.intersect1d(np.frombuffer(ta, np.int64), np.frombuffer(tb, np.int64), assume_unique=True))
-                keep.append(100 * o >= t * (na + nb - o))
+            na, ta, nb, tb = (batch.column(c) for c in ("na", "ta", "nb", "tb"))
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.int64) for c in (ta, tb))
+                o = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * o >= t * (na[i].as_py() + nb[i].as_py() - o))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
@@ -346,11 +348,13 @@ def links(docs: DataFrame, words: int = WORDS, t: int = THRESHOLD) -> tuple[Data
     groups = in_parts.groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
     other = groups.select(F.col("token").alias("token2"), F.col("component").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
     fits = (F.col("component") < F.col("c2")) & (100 * F.col("hi") >= t * F.col("lo2")) & (100 * F.col("hi2") >= t * F.col("lo")) & reach("rest", "rest2", "lo", "lo2")
-    meet = groups.join(other, (F.col("token") == F.col("token2")) & fits).select("token", F.col("component").alias("c1"), "c2")
+    meet = groups.join(other, (F.col("token") == F.col("token2")) & fits).select("token", F.col("component").alias("c1"), "c2", "lo2", "hi2", "rest2")
     x = in_parts.select("token", F.col("component").alias("c1"), F.col("h").alias("a"), F.col("n").alias("n1"), F.col("rest").alias("r1"))
     y = in_parts.select("token", F.col("component").alias("c2"), F.col("h").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("r2"))
+    # A class goes on only if some class of the other component can still reach it.
+    can = (100 * F.col("n1") >= t * F.col("lo2")) & (100 * F.col("hi2") >= t * F.col("n1")) & reach("r1", "rest2", "n1", "lo2")
     ok = (100 * F.least("n1", "n2") >= t * F.greatest("n1", "n2")) & reach("r1", "r2", "n1", "n2")
-    pairs = meet.join(x, ["token", "c1"]).join(y, ["token", "c2"]).where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = meet.join(x, ["token", "c1"]).where(can).join(y, ["token", "c2"]).where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = settle(_verify(pairs, heavy.select("h", "n", "tokens"), t), "links")
     if not more.isEmpty():
         joined = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
