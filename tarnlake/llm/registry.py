@@ -73,10 +73,35 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": _OP6, "op10_quality_rules": _OP10}
+    return {"op4_substring_dedup": _OP4, "op6_jaccard_join": _OP6, "op7_decontamination": _OP7, "op10_quality_rules": _OP10}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
+_OP4 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+g AS (SELECT doc_id, i, i > 400 + LAG(i) OVER (PARTITION BY doc_id ORDER BY i) AS far FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING COUNT(*) > 1)),
+k AS (SELECT doc_id, i, SUM(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, MIN(i) AS a, MAX(i) + 400 AS z FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, z, coalesce(LAG(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS open FROM s),
+c AS (SELECT doc_id, SUM(z - a) AS removed, COUNT(*) AS spans, MAX(z) AS tail, string_agg(hex(CASE WHEN a > open THEN array_slice(b, open, a - 1) ELSE ''::BLOB END), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+ sha256(CASE WHEN spans IS NULL THEN b ELSE unhex(head || CASE WHEN tail <= n THEN hex(array_slice(b, tail, n)) ELSE '' END) END) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+_OP7 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM benchmark),
+dg AS (SELECT doc_id, len(w) - 4 AS n, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bg AS (SELECT item_id, len(w) - 4 AS m, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+bc AS (SELECT item_id, m, g, COUNT(*) AS c FROM bg GROUP BY 1, 2, 3),
+bs AS (SELECT item_id, SUM(c * (length(g) - 4)) AS total FROM bc GROUP BY 1),
+win AS (SELECT DISTINCT doc_id, item_id, m, unnest(range(greatest(pos - m + 1, 0), least(pos, greatest(n - m, 0)) + 1)) AS start FROM dg JOIN bc USING (g)),
+wc AS (SELECT win.doc_id, item_id, start, g, COUNT(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND pos >= start AND pos < start + m GROUP BY 1, 2, 3, 4),
+x AS (SELECT doc_id, item_id, start, SUM(wc.c * (length(g) - 4)) AS total, SUM(CASE WHEN bc.c IS NULL THEN 0 ELSE least(wc.c, bc.c) * (length(g) - 4) END) AS shared FROM wc LEFT JOIN bc USING (item_id, g) GROUP BY 1, 2, 3),
+y AS (SELECT doc_id, item_id, start, CAST(shared AS DOUBLE) / CAST(x.total + bs.total - shared AS DOUBLE) AS similarity FROM x JOIN bs USING (item_id)),
+z AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM y WHERE similarity >= 0.8)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(len(w) AS INTEGER) AS n_words, similarity FROM z JOIN b USING (item_id) WHERE rn = 1
+"""
 _OP6 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
