@@ -6,7 +6,8 @@ whose smallest ``GRAM``-byte hash is the same. Equal windows have the same small
 segments of the same hash can hold equal windows:
 
 * segments with equal bytes repeat as a whole, they are only counted;
-* unequal segments of one hash are put together, once each, and indexed: the suffixes are sorted,
+* unequal segments of one hash are put together, once each. Blocks of their windows whose common
+  bytes occur once are set aside; the rest is indexed: the suffixes are sorted,
   the Burrows-Wheeler transform goes into a wavelet matrix, and threshold-bounded interval
   expansion (breadth-first backward extension, after Beller et al., 2013) finds the common
   prefixes by increasing length. It stops at ``LENGTH``: boundaries not reached by then separate
@@ -43,8 +44,8 @@ LONGEST = 512
 #: Unequal segments of one hash that go into one index.
 CROWD = 3000
 BLOCK = 16
-#: Bytes to an index, but for a larger group of one hash.
-INDEX = 1 << 20
+#: Bytes of segments to an index, but for a larger group of one hash.
+INDEX = 3 << 20
 SLAB = 1 << 20
 
 
@@ -204,7 +205,7 @@ def repeated_places(codes: np.ndarray, length: int) -> np.ndarray:
     """Places whose next ``length`` codes also start elsewhere; code 0 separates texts and matches nothing."""
     n = len(codes)
     out = np.zeros(n, bool)
-    if n <= length:
+    if n <= length or not codes.any():
         return out
     order = suffix_order(codes, length)
     bwt = codes[order - 1]
@@ -244,25 +245,54 @@ def _ranges(hit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return which, a - (ends - n)[which], b - (ends - n)[which]
 
 
-def _index_groups(length: int):
+def promising(low: np.ndarray, n: np.ndarray, raw: np.ndarray, at: np.ndarray, length: int, gram: int, block: int = BLOCK) -> np.ndarray:
+    """Windows that may be equal to another: what all windows of their block have in common occurs twice.
+
+    ``raw`` holds the segments' bytes one behind the other, from ``at`` on; blocks lie at equal
+    distances from the next place of the segment's smallest hash, so equal windows lie in equal blocks.
+    """
+    size = n + length - 1
+    h = gram_hashes(raw, gram)
+    here = np.flatnonzero(h == np.repeat(low, size)[: len(h)])
+    x = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    anchor = here[np.searchsorted(here, x)]
+    segment = np.repeat(np.arange(len(n)), n)
+    part = (anchor - x) // block
+    first = np.ones(len(x), bool)
+    first[1:] = (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])
+    edge = np.flatnonzero(first)
+    core = anchor[edge] - part[edge] * block
+    key = span_hashes(raw, core, core + length - block + 1) + low[segment[edge]] * np.uint64(0x9E3779B97F4A7C15) + part[edge].astype(np.uint64)
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return np.repeat(count[back] > 1, np.diff([*edge, len(x)]))
+
+
+def _index_groups(length: int, gram: int):
     """Of each unequal segment of a hash: the ranges of its windows that another holds too."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        n = np.array([r[2] for r in rows], np.int64)
+        """rows: (low, own, windows, bytes)."""
+        low, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[2] for r in rows], np.int64)
+        raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
         size = n + length - 1
+        whole = np.cumsum(size) - size
+        use, a, b = _ranges(promising(low, n, raw, whole, length, gram), n)
+        # Only these windows are indexed, each run of them as a text of its own.
+        n, size = b - a, b - a + length - 1
         at = np.cumsum(size + 1) - size - 1
-        codes = np.zeros(int((size + 1).sum()), np.int64)
+        take = np.repeat(whole[use] + a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        place = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
         used = np.zeros(257, bool)
-        for s, r in zip(at, rows, strict=True):
-            x = np.frombuffer(r[3], np.uint8).astype(np.int64) + 1
-            used[np.unique(x)] = True
-            codes[s : s + len(x)] = x
         used[0] = True
-        codes = (np.cumsum(used) - 1)[codes]
+        used[np.unique(raw[take]).astype(int) + 1] = True
+        code = np.cumsum(used) - 1
+        codes = np.zeros(int((size + 1).sum()), np.int64)
+        codes[place] = code[raw[take].astype(np.int64) + 1]
         inside = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        which, a, b = _ranges(repeated_places(codes, length)[inside], n)
+        which, c, d = _ranges(repeated_places(codes, length)[inside], n)
+        c, d, which = c + a[which], d + a[which], use[which]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in which], pa.int64()), pa.array([rows[i][1] for i in which], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
+            [pa.array([rows[i][0] for i in which], pa.int64()), pa.array([rows[i][1] for i in which], pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32())],
             names=["low", "own", "a", "b"],
         )
 
@@ -430,7 +460,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     texts = docs.select("k", "text").join(want, "k").mapInArrow(_cut_out(length), "low long, own long, n int, bytes binary")
     texts = settle(texts.join(unequal_sizes(equal), "low"), "unequal")
     few = texts.where(F.col("m") <= crowd).repartition(max(parts, 2), "low").select("low", "own", "n", "bytes")
-    found = few.mapInArrow(_index_groups(length), "low long, own long, a int, b int")
+    found = few.mapInArrow(_index_groups(length, gram), "low long, own long, a int, b int")
     found = found.unionByName(_crowded(texts.where(F.col("m") > crowd).dropDuplicates(["low", "own"]).select("low", "own", "n", "bytes"), length, gram))
     whole = equal.where("c > 1").select("low", "own", F.lit(0).alias("a"), F.col("one.n").alias("b"))
     ranges = settle(found.join(whole.select("low", "own"), ["low", "own"], "left_anti").unionByName(whole), "ranges")
