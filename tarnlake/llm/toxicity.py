@@ -15,6 +15,7 @@ kinds every score is 0.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -112,14 +113,26 @@ def _descend(which, cols, scale, y, weight, n: int, l2: float, rounds: int) -> t
     return w, float(b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, l2: float = 2e-3, rounds: int = 160) -> Model:
-    """Naive Bayes log-count ratios, then logistic regression over the scaled presence of each bucket."""
+def _pack(buckets: np.ndarray) -> bytes:
+    """Ascending bucket numbers as compressed differences, about a byte each."""
+    return zlib.compress(np.diff(buckets, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4")).astype(np.int64)
+
+
+def fit(rows: list[bytes], y: np.ndarray, alpha: float = 0.5, l2: float = 2e-3, rounds: int = 160) -> Model:
+    """Naive Bayes log-count ratios, then logistic regression over the scaled presence of each bucket.
+
+    Rows come as packed by ``_pack`` and are unpacked one at a time; only useful buckets stay in memory.
+    """
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
     pos, neg = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
     for r, k in zip(rows, y, strict=True):
-        (pos if k else neg)[r] += 1
+        (pos if k else neg)[_unpack(r)] += 1
     ratio = np.log(pos / (y.sum() + 2 * alpha)) - np.log(neg / ((1 - y).sum() + 2 * alpha))
     # Only buckets whose ratio stands out from chance can separate the classes in long texts.
     useful = (np.abs(ratio) >= 2.5 * np.sqrt(1 / pos + 1 / neg)) & (pos + neg >= 3)
@@ -127,7 +140,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, l2: float = 2
     index = np.zeros(BUCKETS, np.int32)
     index[live] = np.arange(len(live))
     ratio = ratio[live]
-    kept = [index[r[useful[r]]] for r in rows]
+    kept = [index[b[useful[b]]] for b in map(_unpack, rows)]
     which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
     cols = np.concatenate(kept)
     scale = ratio[cols]
@@ -163,12 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=N
         for rows, raw, bounds in slabs(batches, "text", SLAB):
             row, bucket = _present(raw, bounds, None)
             ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))
+            col = pa.array([_pack(bucket[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), col], names=["doc_id", "y", "buckets"])
 
-    got = d.mapInArrow(features, "doc_id long, y int, buckets array<int>").toArrow()
+    got = d.mapInArrow(features, "doc_id long, y int, buckets binary").toArrow()
     got = got.sort_by("doc_id")
-    rows = [np.asarray(x.values) for x in got.column("buckets")]
+    rows = got.column("buckets").to_pylist()
     return fit(rows, got.column("y").to_numpy())
 
 
