@@ -13,8 +13,9 @@ classes of different components compared, after size and position bounds, with e
 The size up to which sets go the light way is the one with the least estimated cost.
 
 Shingles travel as packed blocks of 6-byte hashes dealt by hash range, about ``RANGE`` shingles to a
-block, so that a task holds a bounded part of the corpus however large a group of copies is; the
-lists that a hot shingle leaves are reduced to (component, bounds) before they are joined.
+range. Shingles of more than ``FREQUENT`` of the classes are known from partial counts, need no list to
+tell that they are shared, and are dealt by class instead, so that no task gathers the postings of a
+hot shingle. The lists that remain are reduced to (component, bounds) before they are joined.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; a null doc_id is
@@ -39,6 +40,11 @@ WORDS = 4
 THRESHOLD = 85
 #: Shingles to a hash range.
 RANGE = 1_500_000
+#: Share of the classes, and number of them, from which a shingle counts as frequent. At most
+#: 2 / FREQUENT * (mean set size) shingles can be, which bounds what is sent to the executors.
+FREQUENT, FREQUENT_LEAST = 0.005, 500
+#: Stands for the hash range of frequent shingles.
+_EVERYWHERE = 1 << 30
 #: The light way ends here at the latest.
 LIGHT_MOST = 20
 SLAB = 4 << 20
@@ -102,6 +108,9 @@ def set_keys(g: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+_SEEN = pa.list_(pa.struct([("token", pa.int64()), ("k", pa.int64())]))
+
+
 def _sets(words: int, t: int):
     most = _partner(LIGHT_MOST, t)
 
@@ -110,10 +119,17 @@ def _sets(words: int, t: int):
             g, ends = shingle_sets(raw, bounds, words)
             n = np.diff(ends)
             small = n <= most
+            # Of each slab's distinct sets, the shingles that half of the share would make frequent.
+            _, first = np.unique(set_keys(g, ends), return_index=True)
+            use = np.zeros(len(n), bool)
+            use[first] = True
+            often, count = np.unique(g[np.repeat(use, n)], return_counts=True)
+            some = count >= max(2, FREQUENT / 2 * len(first))
+            seen = pa.array([[{"token": t, "k": k} for t, k in zip(often[some].view(np.int64).tolist(), count[some].tolist(), strict=True)]] + [None] * (len(n) - 1), _SEEN)
             tokens = [g[a:b].view(np.int64) if s else None for a, b, s in zip(ends[:-1], ends[1:], small, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_keys(g, ends)), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h", "tokens"],
+                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_keys(g, ends)), pa.array(tokens, pa.list_(pa.int64())), seen],
+                names=["doc_id", "n", "h", "tokens", "seen"],
             )
 
     return run
@@ -124,8 +140,16 @@ def _partner(n: int, t: int = THRESHOLD) -> int:
     return 100 * n // t
 
 
-def _blocks(words: int, ranges: int):
-    """Packed shingles by hash range: of each class in it the key, the set's size, how many and which."""
+def _spread(x: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each hash, from its upper 24 bits."""
+    return ((x >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+
+
+def _blocks(words: int, ranges: int, frequent: np.ndarray):
+    """Packed shingles by hash range: of each class in it the key, the set's size, how many and which.
+
+    Frequent shingles go to ranges of their own, by class and as their number in ``frequent``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raw, bounds in slabs(batches, "text", SLAB):
@@ -137,7 +161,12 @@ def _blocks(words: int, ranges: int):
             use = np.zeros(len(sizes), bool)
             use[first] = True
             g, row = g[use[row]], row[use[row]]
-            part = ((g >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int32)
+            part = _spread(g, ranges)
+            if len(frequent):
+                number = np.searchsorted(frequent, g)
+                hot = frequent[np.minimum(number, len(frequent) - 1)] == g
+                part[hot] = ranges + _spread(mix(keys.view(np.uint64)[row[hot]] * _ODD[2]), ranges)
+                g[hot] = number[hot].astype(np.uint64)
             order = np.argsort(part, kind="stable")
             g, row, part = g[order], row[order], part[order]
             packed = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :6])
@@ -194,16 +223,18 @@ def _shared(ranges: int):
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.concatenate([starts, [len(token)]]))
             df = np.repeat(length, length)
+            if p >= ranges:
+                df[:] = 65535
             both = df >= 2
             token, key, size, df = token[both], key[both], size[both], df[both]
-            q = (mix(key.view(np.uint64) * _ODD[2]) >> np.uint64(48)).astype(np.int64) * ranges >> 16
+            q = _spread(mix(key.view(np.uint64) * _ODD[2]), ranges)
             order = np.lexsort((key, q))
             token, key, size, df, q = token[order], key[order], size[order], df[order], q[order]
             out = {k: [] for k in ("q", "p", "keys", "sizes", "counts", "tokens", "df")}
             for a, b in runs(q):
                 at = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
                 out["q"].append(int(q[a]))
-                out["p"].append(p)
+                out["p"].append(_EVERYWHERE if p >= ranges else p)
                 out["keys"].append(key[a:b][at].tobytes())
                 out["sizes"].append(size[a:b][at].tobytes())
                 out["counts"].append(np.diff([*at, b - a]).astype(np.uint32).tobytes())
@@ -223,7 +254,7 @@ def _prefixes(t: int):
             counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
             key = np.repeat(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), counts)
             size = np.repeat(np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]), counts).astype(np.int64)
-            token = np.concatenate([_unpack6(r["tokens"]) | np.uint64(r["p"] << 48) for r in rows])
+            token = np.concatenate([mix(_unpack6(r["tokens"]) * _ODD[0] + np.array([r["p"]], np.uint64) * _ODD[1]) for r in rows])
             df = np.concatenate([np.frombuffer(r["df"], np.uint16) for r in rows])
             rows.clear()
             order = np.lexsort((token, df, key))
@@ -314,11 +345,14 @@ def links(docs: DataFrame, words: int = WORDS, t: int = THRESHOLD) -> tuple[Data
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = settle(docs.mapInArrow(_sets(words, t), f"doc_id {kind}, n long, h long, tokens array<long>"), "sets")
+    rows = settle(docs.mapInArrow(_sets(words, t), f"doc_id {kind}, n long, h long, tokens array<long>, seen array<struct<token:long,k:long>>"), "sets")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = min(max(1, -(-total // RANGE)), 1 << 15)
+    ranges = min(max(1, -(-total // RANGE)), 1 << 24)
+    classes = rows.agg(F.approx_count_distinct("h")).first()[0]
+    often = rows.select(F.explode("seen").alias("s")).groupBy("s.token").agg(F.sum("s.k").alias("k")).where(F.col("k") >= max(FREQUENT_LEAST, FREQUENT / 2 * classes))
+    frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
     known = docs.where("doc_id is not null")
-    blocks = known.mapInArrow(_blocks(words, ranges), _BLOCK)
+    blocks = known.mapInArrow(_blocks(words, ranges, frequent), _BLOCK)
     shared = blocks.repartition(max(ranges, 2), "p").mapInArrow(_shared(ranges), "q int, p int, keys binary, sizes binary, counts binary, tokens binary, df binary")
     heavy = settle(shared.repartition(max(ranges, 2), "q").mapInArrow(_prefixes(t), "h long, n long, tokens binary, prefix array<long>, skipped long"), "prefixes")
 

@@ -77,6 +77,19 @@ def test_whole_table(spark, sf):
     assert got(jj.join_components(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("least", [3, 40])
+def test_frequent_shingles(spark, monkeypatch, least):
+    monkeypatch.setattr(jj, "FREQUENT_LEAST", least)
+    r = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(40))
+    base = " ".join(r.choice("klmnopqrst") + str(r.randrange(500)) for _ in range(60))
+    texts = [f"{' '.join(str(r.randrange(10**6)) for _ in range(r.randrange(30)))} {common}" for _ in range(120)]
+    texts += family(r, common + " " + base, 4, 60) + [common] * 30
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(jj.join_components(df)) == brute(rows)
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (3, None), (9, "p q r s t"), (9, "a b c d e")]
     df = spark.createDataFrame([(*x, 1, "y") for x in rows], "doc_id long, text string, n int, token string")
