@@ -68,10 +68,10 @@ def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pii_spans(df: DataFrame, text: str = "text", kinds: list[Kind] | None = None) -> DataFrame:
-    """Add ``spans``: array of (start, end, kind, score), by start and then in the order of ``kinds``."""
+def pii_spans(df: DataFrame, text: str = "text", kinds: list[Kind] | None = None, into: str = "spans") -> DataFrame:
+    """Add ``spans`` (or the column named by ``into``): array of (start, end, kind, score), by start and then in the order of ``kinds``."""
     kinds = KINDS if kinds is None else kinds
-    keep = [c for c in df.columns if c != "spans"]
+    keep = [c for c in df.columns if c != into]
     d = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     none = F.array().cast("array<string>")
     found = {}
@@ -88,13 +88,13 @@ def pii_spans(df: DataFrame, text: str = "text", kinds: list[Kind] | None = None
     d = d.withColumn("_all", F.concat(*spans))
     order = "struct(x.start, {0}, x.end, x.kind, x.score)".format("case " + " ".join(f"when x.kind = '{k.name}' then {i}" for i, k in enumerate(kinds)) + " end as rank")
     d = d.withColumn(
-        "spans",
+        into,
         F.expr(
             f"case when size(_all) = 0 then cast(array() as array<{_SPAN}>) when size(_all) = 1 then _all else"
             f" transform(array_sort(transform(_all, x -> {order})), x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'score', x.score)) end"
         ),
     )
-    return d.select(*keep, "spans")
+    return d.select(*keep, into)
 
 
 def _starts(m: str, g: str, block: int = 128) -> str:
@@ -135,10 +135,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     Rows without a span, null texts included, stay as they are.
     """
-    d = pii_spans(df, text)
+    d = pii_spans(df, text, into="_pii_spans")
     masked = F.expr(
-        f"case when size(spans) = 0 then `{text}` else aggregate(spans, named_struct('p', 0, 'o', ''),"
+        f"case when size(_pii_spans) = 0 then `{text}` else aggregate(_pii_spans, named_struct('p', 0, 'o', ''),"
         f" (a, x) -> named_struct('p', greatest(a.p, x.end), 'o', if(x.start >= a.p, concat(a.o, substr(`{text}`, a.p + 1, x.start - a.p), '[', upper(x.kind), ']'), a.o)),"
         f" a -> concat(a.o, substr(`{text}`, a.p + 1))) end"
     )
-    return d.withColumn(text, masked).drop("spans")
+    return d.withColumn(text, masked).drop("_pii_spans")
