@@ -24,7 +24,7 @@ NEAR = (5, 80)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on its training fold of the labels, does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 3) != 1)
-    return toxicity.score(docs, model).where(F.col("score") < REJECT).select(*docs.columns)
+    return toxicity.score(docs, model, into="_toxicity").where(F.col("_toxicity") < REJECT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,14 +211,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     return fit(np.repeat(np.arange(len(lines)), lines), x, np.repeat(got.column("y").to_numpy(), lines))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``score``, 0 to 1."""
-    keep = [c for c in docs.columns if c != "score"]
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """Add ``into``: the score, 0 to 1."""
+    keep = [c for c in docs.columns if c != into]
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, bounds in slabs(batches, text, SLAB):
             z = pa.array(model.scores(raw, bounds), pa.float64())
-            yield pa.RecordBatch.from_arrays([*rows.columns, z], names=[*rows.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, z], names=[*rows.schema.names, into])
 
     return docs.select(*keep).mapInArrow(scored, schema)

@@ -60,3 +60,13 @@ def test_run_and_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_pass_through(spark):
+    clash = {c: F.lit(c) for c in ("score", "spans", "n", "h", "token", "k", "uid", "item", "component_id")}
+    docs = table(spark, SF, "documents").withColumns(clash)
+    for name, stage in cp.STAGES[:-1]:
+        docs = settle(stage(spark, docs, SF), name)
+        assert docs.columns == [*COLUMNS, *clash]
+    assert docs.where("score <> 'score' or spans <> 'spans' or token <> 'token'").count() == 0 and docs.count() > 50
+    assert stage is cp.mask_personal_data and cp.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
