@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the smallest doc_id. Documents without an id or words stay."""
     found = jaccard_join.join_components(docs, *NEAR)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(settle(first, "kept"), "doc_id")
+    # The identifiers grow with the corpus, so they are never broadcast, whatever their size happens to be.
+    kept = docs.join(settle(first, "kept").hint("merge"), "doc_id")
     single = kept.where("_rows = 1")
     # Rows that repeat an identifier are copies too; there are few, so only they are grouped.
     repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"])
