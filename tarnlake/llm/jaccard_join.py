@@ -47,7 +47,7 @@ FREQUENT, FREQUENT_LEAST = 0.005, 500
 _EVERYWHERE = 1 << 30
 #: The light way ends here at the latest.
 LIGHT_MOST = 20
-SLAB = 4 << 20
+SLAB = 2 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LOW48 = np.uint64((1 << 48) - 1)
 

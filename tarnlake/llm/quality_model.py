@@ -29,7 +29,7 @@ from .common import slabs, span_hashes, word_bounds
 
 PER_CLASS = 1500
 TRAIN_LINES = 256
-SLAB = 4 << 20
+SLAB = 1 << 20
 #: Byte classes: letters a-z, A-Z, digits, white space, sentence marks, symbols, bars, "!", other ASCII, UTF-8 lead and tail bytes.
 _CLASSES = 11
 

@@ -34,7 +34,7 @@ GRAMS = (4, 6, 8)
 PER_CLASS = 1500
 #: Buckets that keep a weight.
 KEPT = 4096
-SLAB = 4 << 20
+SLAB = 1 << 20
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
