@@ -6,15 +6,16 @@ white space, shingles are ``WORDS`` words, a shingle weighs its code points; the
 multisets is the sum of weight * min(count) over the sum of weight * max(count).
 
 1. Only windows with a shingle of an item can be similar to it. Documents are tested shingle by
-   shingle against the benchmark's in one pass without a shuffle; windows around the hits remain.
-2. Each window and item gets a weighted SimHash of 64 bits. The items' fingerprints go into a
-   multi-index: 64 bits in ``PARTS`` parts, every value within ``RADIUS // PARTS`` bits of a part. By
-   the pigeonhole principle a window meets every item within ``RADIUS`` bits.
-3. The exact similarity verifies the candidates.
+   shingle against the benchmark's in one pass without a shuffle; the positions of the hits remain.
+2. What a window shares with an item changes only where a hit enters or leaves it: a hit adds its
+   weight to a run of starts, of repeated shingles at most as often as the item has them. A running
+   sum over these changes gives the exact shared weight of all starts.
+3. The weight of a union is at least the item's, so starts whose shared weight is below ``similarity``
+   of the item's own cannot match. All others get their exact similarity from the window's weight.
 
-The radius is more than three standard deviations beyond the distance expected at the threshold. The
-benchmark is the stated query set and goes through in blocks of ``ITEMS`` shingles: only a block of
-that bound is ever sent to the executors. Rows of a hot document or item are spread by document.
+No step estimates: the result has every window that reaches the similarity. The benchmark is the
+stated query set and goes through in blocks of ``ITEMS`` shingles: only a block of that bound is ever
+sent to the executors. Rows of a hot document or item are spread by document.
 
 Defined results: a null or empty text matches nothing; an item with fewer than ``WORDS`` words has no
 shingle and matches nothing; a document shorter than an item is compared as a whole; a null doc_id or
@@ -24,15 +25,13 @@ read; an empty table, on either side, gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, SPACE_CHARS, settle
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 20
-PARTS = 7
 #: Benchmark shingles to a block.
 ITEMS = 20_000
 
@@ -59,42 +58,21 @@ def _with_weights(d: DataFrame, words: int = WORDS) -> DataFrame:
     return d.select(*keep, F.transform("sh", lambda _, i: sum((F.get("_l", i + k) for k in range(1, words)), F.get("_l", i))).alias("wt"))
 
 
-def _fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted SimHash ``f`` of the shingles (h, w) of each group."""
-    votes = [F.sum(F.when(F.expr(f"(shiftright(h, {b}) & 1) = 1"), F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}") for b in range(64)]
-    d = rows.groupBy(*by).agg(*votes)
-    bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    f = bits[0]
-    for b in bits[1:]:
-        f = f.bitwiseOR(b)
-    return d.select(*by, f.alias("f"))
-
-
-def _parts() -> list[tuple[int, int]]:
-    """(shift, bits) of the parts of a fingerprint."""
-    cuts = [64 * i // PARTS for i in range(PARTS + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _keys(f: str, near: int) -> Column:
-    """The (part, value) keys of a fingerprint, with every value within ``near`` (0 to 2) bits."""
-    out = []
-    for i, (shift, bits) in enumerate(_parts()):
-        masks = [0]
-        masks += [1 << a for a in range(bits)] if near else []
-        masks += [1 << a | 1 << b for a in range(bits) for b in range(a)] if near > 1 else []
-        value = f"shiftrightunsigned({f}, {shift}) & {(1 << bits) - 1}L"
-        out.append(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> struct({i} as part, ({value}) ^ m as value))")
-    return F.expr(f"concat({', '.join(out)})")
-
-
-def _windows(hits: DataFrame, items: DataFrame, words: int) -> DataFrame:
-    """Windows with a hit: uid, item, m (shingles of the item), start."""
-    at = hits.select("uid", F.size("sh").alias("n"), F.explode("hits").alias("pos"), "sh").select("uid", "n", "pos", F.get("sh", F.col("pos")).alias("h"))
-    found = at.join(F.broadcast(items.select("item", "m", F.explode(F.array_distinct("sh")).alias("h"))), "h")
-    found = found.groupBy("uid", "n", "item", "m").agg(F.collect_list("pos").alias("at"))
-    spread = "array_distinct(flatten(transform(at, p -> sequence(greatest(p - m + 1, 0), least(p, greatest(n - m, 0))))))"
-    return found.select("uid", "item", "m", F.explode(F.expr(spread)).alias("start"))
+def _windows(hits: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Windows that share enough with an item: uid, item, m (shingles of the item), total (its weight), start, both (shared weight)."""
+    at = hits.select("uid", F.size("sh").alias("n"), F.explode("hits").alias("pos"), "sh", "wt")
+    at = at.select("uid", "n", "pos", F.get("sh", F.col("pos")).alias("h"), F.get("wt", F.col("pos")).alias("w"))
+    own = items.select("item", "m", "total", F.explode("sh").alias("h")).groupBy("item", "m", "total", "h").agg(F.count("*").cast("int").alias("c"))
+    found = at.join(F.broadcast(own), "h").groupBy("uid", "n", "item", "m", "total", "h", "c", "w").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    # Beyond the c occurrences that the item has, one counts only in windows that begin after the c-th before it.
+    runs = "transform(at, (p, i) -> struct(greatest(p - m + 1, 0, get(at, i - c) + 1) as a, least(p, greatest(n - m, 0)) as z))"
+    found = found.select("uid", "item", "m", "total", "w", F.explode(F.expr(runs)).alias("x")).where("x.a <= x.z")
+    ends = F.expr("array(struct(x.a as start, bigint(w) as d), struct(x.z + 1 as start, -bigint(w) as d))")
+    change = found.select("uid", "item", "m", "total", F.explode(ends).alias("x")).select("uid", "item", "m", "total", "x.start", "x.d")
+    by = Window.partitionBy("uid", "item").orderBy("start")
+    runs = change.select("uid", "item", "m", "total", "start", F.lead("start").over(by).alias("next"), F.sum("d").over(by).alias("both"))
+    some = runs.where((F.col("next") > F.col("start")) & (F.col("both") > 0) & (F.col("both") / F.col("total") >= similarity))
+    return some.select("uid", "item", "m", "total", "both", F.explode(F.expr("sequence(start, next - 1)")).alias("start"))
 
 
 def _matches(docs: DataFrame, items: DataFrame, values: list[int], words: int, similarity: float) -> DataFrame:
@@ -104,21 +82,9 @@ def _matches(docs: DataFrame, items: DataFrame, values: list[int], words: int, s
     # The row number keeps the filter above this projection: below it, it would compute the hits a second time.
     d = _shingled(docs.select("doc_id", "text"), words=words).select("doc_id", "sh", "_w", hits.alias("hits"), F.monotonically_increasing_id().alias("uid"))
     hits = settle(_with_weights(d.where(F.size("hits") > 0), words), "hits")
-    windows = settle(_windows(hits, items, words), "windows")
-    rows = windows.select("uid", "m", "start").distinct().join(hits.select("uid", "sh", "wt"), "uid")
-    rows = rows.select("uid", "m", "start", F.explode(F.arrays_zip(F.expr("slice(sh, start + 1, m)").alias("h"), F.expr("slice(wt, start + 1, m)").alias("w"))).alias("x")).select("uid", "m", "start", "x.h", "x.w")
-    prints = _fingerprints(rows, ["uid", "m", "start"])
-    own = items.select("item", "m", F.explode(F.arrays_zip(F.col("sh").alias("h"), F.col("wt").alias("w"))).alias("x")).select("item", "m", "x.h", "x.w")
-    index = _fingerprints(own, ["item", "m"]).select("item", "m", F.col("f").alias("g"), F.explode(_keys("f", RADIUS // PARTS)).alias("key"))
-    probe = prints.select("uid", "m", "start", "f", F.explode(_keys("f", 0)).alias("key"))
-    near = probe.join(index, ["m", "key"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("uid", "item", "m", "start").distinct()
-
-    pairs = near.join(hits.select("uid", "sh", "wt"), "uid").select("uid", "item", "start", F.explode(F.arrays_zip(F.expr("slice(sh, start + 1, m)").alias("h"), F.expr("slice(wt, start + 1, m)").alias("w"))).alias("x"))
-    pairs = pairs.select("uid", "item", "start", "x.h", "x.w", F.lit(1).alias("a"), F.lit(0).alias("b"))
-    other = near.join(own.select("item", "h", "w"), "item").select("uid", "item", "start", "h", "w", F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = pairs.unionByName(other).groupBy("uid", "item", "start", "h").agg(F.max("w").alias("w"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = counts.groupBy("uid", "item", "start").agg(F.sum(F.col("w") * F.least("a", "b")).alias("both"), F.sum(F.col("w") * F.greatest("a", "b")).alias("any"))
-    good = sums.select("uid", "item", "start", (F.col("both") / F.col("any")).alias("similarity")).where(F.col("similarity") >= similarity)
+    windows = _windows(hits, items, similarity).join(hits.select("uid", "wt"), "uid")
+    weight = F.expr("aggregate(slice(wt, start + 1, m), 0L, (a, x) -> a + x)")
+    good = windows.select("uid", "item", "start", (F.col("both") / (weight + F.col("total") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similarity)
     best = good.groupBy("uid", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("x")).select("uid", "item", (-F.col("x.s")).alias("start"), "x.similarity")
     return best.join(hits.select("uid", "doc_id"), "uid").join(items.select("item", "item_id", "n_words"), "item").select("doc_id", "item_id", "start", "n_words", "similarity")
 
@@ -130,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
     """
     b = _with_weights(_shingled(benchmark.select("item_id", "text"), words=words), words).where(F.size("sh") > 0)
     b = settle(b.select("item_id", "sh", "wt", F.size("sh").alias("m"), F.monotonically_increasing_id().alias("item")), "items")
-    b = b.withColumn("n_words", F.col("m") + words - 1)
+    b = b.withColumn("n_words", F.col("m") + words - 1).withColumn("total", F.expr("aggregate(wt, 0L, (a, x) -> a + x)"))
     # Items in blocks of about ``block`` shingles; the blocks' numbers are all that the driver sees besides one block.
     total = b.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     blocks = -(-total // block)

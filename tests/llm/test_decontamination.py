@@ -66,6 +66,40 @@ def test_equals_brute_force(spark, block):
     assert dc.contaminated(df.limit(0), bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_long_words_at_the_threshold(spark):
+    """Every window from 0.8 on is found, also where few shingles hold most of the weight."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("bcdfghjklaeiou0123456789") for _ in range(n))
+    items, docs = [], []
+    for i in range(40):
+        v = [word(r.randrange(2, 9)) for _ in range(r.randrange(40, 160))]
+        for _ in range(r.randrange(1, 4)):
+            v[r.randrange(len(v))] = word(r.randrange(40, 250))
+        if i % 4 == 0:
+            v[20:20] = v[:12] * 2
+        items.append((i, " ".join(v)))
+        tries = 0
+        while len(docs) < 15 * (i + 1) and (tries := tries + 1) < 3000:
+            w = list(v)
+            for _ in range(r.randrange(1, 5)):
+                k = max(range(len(w)), key=lambda k: len(w[k])) if r.random() < 0.3 else r.randrange(len(w))
+                w[k : k + 1] = r.choice([[word(5)], [word(5)], [], [w[k], word(4)], [word(60)]])
+            if 0.8 <= similarity(grams(w), grams(v)) < 0.85:
+                docs.append((len(docs), " ".join([word(4) for _ in range(r.randrange(4))] + w + [word(4) for _ in range(r.randrange(4))])))
+    want = brute(docs, items)
+    have = got(dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")))
+    assert len(want) > 300 and have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-12 for k in have)
+
+
+def test_repeated_shingles_count_as_often_as_in_the_item(spark):
+    line = "one two three four five six"
+    items = [(1, f"{line} " * 3 + "seven eight nine"), (2, "x " * 9), (3, f"{line} zero ten eleven twelve dozen")]
+    docs = [(1, f"{line} " * 40), (2, "x " * 7), (3, "x " * 300), (4, f"a b {line} " + f"{line} " * 2 + "seven eight nine"), (5, f"{line} {line} {line} seven eight"), (6, "x " * 8 + "y " * 8)]
+    want = brute(docs, items, 0.4)
+    have = got(dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), similarity=0.4))
+    assert len(want) > 4 and have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-12 for k in have)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
