@@ -31,7 +31,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Bytes to an n-gram; accented letters take two.
 GRAMS = (4, 6, 8)
-PER_CLASS = 1500
+PER_CLASS = 2500
 #: Buckets that keep a weight.
 KEPT = 4096
 SLAB = 1 << 20

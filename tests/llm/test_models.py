@@ -39,6 +39,12 @@ def test_odd_rows(spark, sf, odd, module, label):
     assert {round(r["score"]) for r in module.score(odd, none).collect()} == {want}
 
 
+def test_toxicity_learns_from_2500_of_each_label(spark):
+    labels = spark.range(6000).selectExpr("id as doc_id", "id % 2 as toxic")
+    few = toxicity._labelled(labels, "toxic", F.lit(True), toxicity.PER_CLASS)
+    assert {r["y"]: r["count"] for r in few.groupBy("y").count().collect()} == {0: 2500, 1: 2500}
+
+
 def test_chain_marginals_equal_enumeration():
     r = np.random.default_rng(3)
     row = np.repeat([0, 1, 2], [1, 4, 6])
