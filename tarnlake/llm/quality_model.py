@@ -5,8 +5,8 @@ that repeat the word before, likeness to the line before). The chain labels line
 forward-backward marginals of "good", weighted by line length, average to the document's score.
 
 ``train`` fits on a bounded sample of labelled rows: at most ``PER_CLASS`` documents of each label,
-those with the smallest hash of their doc_id, and at most ``TRAIN_LINES`` lines of each; a
-document's label stands for its lines. Scoring reads every whole text once, without a shuffle.
+those with the smallest hash of their doc_id, as long as those before have fewer than ``LINES`` lines
+of their label; each with all its lines. A document's label stands for its lines. Scoring reads every whole text once, without a shuffle.
 
 Defined results: a null or empty text, or one of empty lines, counts as a single empty line;
 repeated rows get equal scores; a null doc_id is scored but never a training row; other columns are
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slabs, span_hashes, word_bounds
+from .common import settle, slabs, span_hashes, word_bounds
 
 PER_CLASS = 1500
-TRAIN_LINES = 256
+#: Lines of each label from which no further document is taken: 1500 documents of 256 lines.
+LINES = 384_000
 SLAB = 1 << 20
 #: Byte classes: letters a-z, A-Z, digits, white space, sentence marks, symbols, bars, "!", other ASCII, UTF-8 lead and tail bytes.
 _CLASSES = 11
@@ -195,14 +196,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, bounds in slabs(batches, "text", SLAB):
             row, _, f = line_features(raw, bounds)
-            ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            place = np.arange(len(row)) - ends[row]
-            row, f = row[place < TRAIN_LINES], f[place < TRAIN_LINES]
             ends = np.searchsorted(row, np.arange(rows.num_rows + 1)) * FEATURES
             col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), col], names=["doc_id", "y", "f"])
 
-    got = d.mapInArrow(features, "doc_id long, y int, f array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    d = settle(d.mapInArrow(features, "doc_id long, y int, f array<float>"), "lines")
+    sizes = d.groupBy("doc_id", "y").agg(F.sum(F.size("f") / FEATURES).alias("k")).select("*", F.xxhash64("doc_id").alias("h")).collect()
+    before, ids = [0, 0], []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if before[r["y"]] < LINES:
+            before[r["y"]] += r["k"]
+            ids.append(r["doc_id"])
+    d = d if len(ids) == len(sizes) else d.where(F.col("doc_id").isin(ids))
+    got = d.toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0, int), np.zeros((0, FEATURES)), np.zeros(0))
     f = got.column("f").combine_chunks()

@@ -45,6 +45,20 @@ def test_toxicity_learns_from_2500_of_each_label(spark):
     assert {r["y"]: r["count"] for r in few.groupBy("y").count().collect()} == {0: 2500, 1: 2500}
 
 
+def test_quality_learns_from_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda row, f, y: seen.append((np.bincount(row).tolist(), y.tolist())))
+    docs = spark.createDataFrame([(d, "a good line.\n" * 300 + "#### |||\n" * (10 * d)) for d in range(1, 9)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as quality")
+    quality_model.train(docs, labels)
+    assert seen[0][0] == [300 + 10 * d for d in range(1, 9)]
+    # Past the bound on lines whole documents are left out, at the latest after the one that reaches it.
+    monkeypatch.setattr(quality_model, "LINES", 700)
+    quality_model.train(docs, labels)
+    assert len(seen[1][0]) < 8 and set(seen[1][0]) <= set(seen[0][0])
+    assert all(700 <= seen[1][1].count(k) < 700 + 380 for k in (0, 1))
+
+
 def test_chain_marginals_equal_enumeration():
     r = np.random.default_rng(3)
     row = np.repeat([0, 1, 2], [1, 4, 6])
