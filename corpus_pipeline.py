@@ -28,15 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id. Documents without an id or words stay."""
-    found = jaccard_join.join_components(docs, *NEAR)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    # The identifiers grow with the corpus, so they are never broadcast, whatever their size happens to be.
-    kept = docs.join(settle(first, "kept").hint("merge"), "doc_id")
-    single = kept.where("_rows = 1")
-    # Rows that repeat an identifier are copies too; there are few, so only they are grouped.
-    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of linked rows one with the smallest doc_id, null last. Different texts of one doc_id are rows of
+    their own; rows without words are only linked with their exact copies, those without an id either all stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
+    keyed = docs.withColumn("_key", key)
+    found = jaccard_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"), *NEAR)
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"))
+    # The keys grow with the corpus, so they are never broadcast, whatever their size happens to be.
+    kept = keyed.join(settle(first, "kept").hint("merge"), "_key")
+    every = (F.col("_rows") == 1) | ((F.col("_n") == 0) & F.col("_key.none"))
+    # Rows that repeat a key are exact copies; there are few, so only they are grouped.
+    repeated = kept.where(~every).dropDuplicates(["_key"])
+    return kept.where(every).unionByName(repeated).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,16 @@ def test_each_stage_against_brute_force(spark, planted):
         docs = out
 
 
+def test_near_duplicates_choose_rows(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c.upper()), (3, e), (5, e + " end"), (5, d), (5, d), (6, d), (7, " "), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sum(x in out for x in [(None, c), (None, c.upper())]) == 1
+    want = [(1, a), (1, b), (3, e), (5, d), (7, " "), (None, ""), (None, "")]
+    assert sorted(map(str, [x for x in out if (x[1] or "").lower() != c])) == sorted(map(str, want)) and len(out) == 8
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
