@@ -56,3 +56,52 @@ def test_table_and_frames(spark):
     out = extraction.extract(df).collect()
     assert [r["text"] for r in out] == ["", "x"] * 2 and out[1]["page_id"] is None
     assert extraction.extract(df.limit(0)).count() == 0
+
+
+def fill(page):
+    """G and R with a number become so many words of the article and of the rest."""
+    return re.sub(r"\b([GR])([0-9]+)\b", lambda m: " ".join([{"G": "wanted", "R": "other"}[m[1]]] * int(m[2])), page)
+
+
+#: Layouts that are not among the labelled pages.
+HELD_OUT = [
+    "<div class='layout sidebar-right'><article><h1>G5</h1><p>G40<p>G12</article><div class=sidebar-right><p>R25</div></div>",
+    "<div class='page nav-fixed'><ul class=nav><li><a>R1</a></ul><article><p>G22<p>G61</article></div>",
+    "<div id='main' class='content comments-open'><h2>G4</h2><p>G51<p>G3<p>G30</div><div id=footer>R14</div>",
+    "<div class='site search-enabled'><main><p>G33<p>G47</main><div class=search-box>R3</div></div>",
+    "<form id='aspnetForm'><article><p>G50<p>G8<p>G18</article><div>R20</div></form>",
+    "<div class='post tags-politics'><h1>G9</h1><p>G28<p>G44</div>",
+    "<article><p>G37<p><a href=x>G11</a><p>G29</article>",
+    "<div><h1>G7</h1><p>G45<p>G39</div><div>R17</div>",
+    "<body class='single sidebar'><header><a>R2</a></header><article class='post has-comments'><p>G26<p>G71</article><div class=comments><div><p>R80</div><div><p>R64</div></div></body>",
+    "<section id=page><div class='menu-wrap'><a>R1</a> <a>R2</a></div><section class='story share-on'><h1>G10</h1><p>G20<p>G5<p>G83</section><section class=replies><p>R31<p>R42</section></section>",
+    "<table><tr><td><a>R1</a></td></tr><tr><td><p>G90<p>G35<p>G14</td><td><p>R22</td></tr></table>",
+    "<article><h1>G6</h1><div class=byline>R4</div><p>G48<figure><figcaption>G9</figcaption></figure><p>G52<div class='newsletter-signup'>R12 <form>R2 <input></form></div><p>G30<ul class=related><li><a>R5</a><li><a>R6</a></ul></article>",
+    "<main><div class=hero><h1>G8</h1></div><div class=body-text><p>G66<p>G4<p>G59</div><div class='promo wide'>R30</div></main>",
+    "<p>G58<p>G33<p>G70<div>R13</div>",
+    "<article><p>G48<p>G62</p><div>R8</div></article>",
+    "<nav><a>R2</a></nav><h1>G5</h1><p>G44<ol><li>G12<li>G9 <a>G2</a><li>G7</ol><p>G39<footer><p>R20<p>R9</footer>",
+]
+
+
+@pytest.mark.parametrize("page", HELD_OUT)
+def test_held_out_layouts(page):
+    want = re.findall(r"G[0-9]+", page)
+    got = extraction.main_text(fill(page), TREE)
+    assert "other" not in got and got.count("wanted") == sum(int(x[1:]) for x in want)
+
+
+def test_the_tree_uses_its_neighbours():
+    used, nodes = set(), [TREE]
+    while nodes:
+        node = nodes.pop()
+        if node.feature is not None:
+            used.add(extraction.FEATURES[node.feature])
+            nodes += [node.low, node.high]
+    assert {"words", "links"} <= used and used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+
+
+def test_names_only_count_where_they_do_not_wrap():
+    long = "one two three four " * 20
+    for name in ("sidebar", "comments", "ad"):
+        assert extraction.main_text(f"<div class='x {name}-on'><div class=post><p>{long}</p></div><div class={name}>{long}</div></div>", TREE) == long.strip()
