@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 #: Java character class of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Bytes of rows that go to a Python worker at once.
+BATCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only in local mode (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark.conf.get("tarnlake.scratch", None) or tempfile.mkdtemp(prefix="tarnlake-")
         spark.conf.set("tarnlake.scratch", found)
     return found.rstrip("/")
@@ -71,6 +79,45 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with memory that goes back to the system as a task ends.
+
+    Python workers outlive their tasks and are used again; without this, each would hold on to the most
+    that any of its tasks has needed while later stages run beside it. Batches are held to ``BATCH``
+    bytes (a longer row goes alone), so that neither side holds many long texts at once.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)) > BATCH:
+        conf.set(name, str(BATCH))
+    return df.mapInArrow(functools.partial(_lean, run), schema)
+
+
+def _lean(run, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    libc = _libc()
+    try:
+        yield from run(batches)
+    finally:
+        _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        if libc:
+            libc.malloc_trim(0)
+
+
+@functools.cache
+def _libc():
+    """glibc, told to return arrays beyond a megabyte as they are freed; None on other systems."""
+    if not sys.platform.startswith("linux"):
+        return None
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
 def bucket_of(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the identifier's decimal text, modulo ``mod``: the fixed folds of the labelled tables."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

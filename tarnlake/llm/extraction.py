@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import arrow
+
 # Element names of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -429,4 +431,4 @@ def extract(pages: DataFrame, page: str = "html", table: list | None = None) ->
             cols = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "text", "n_chars"])
 
-    return pages.select(*keep, page).mapInArrow(extracted, schema)
+    return arrow(pages.select(*keep, page), extracted, schema)

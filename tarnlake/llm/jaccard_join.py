@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, mix, settle, slabs, span_hashes, word_bounds
+from .common import arrow, components, lower_ascii, mix, settle, slabs, span_hashes, word_bounds
 
 WORDS = 4
 THRESHOLD = 85
 #: Shingles to a hash range.
-RANGE = 1_500_000
+RANGE = 750_000
 #: Share of the classes, and number of them, from which a shingle counts as frequent. At most
 #: 2 / FREQUENT * (mean set size) shingles can be, which bounds what is sent to the executors.
 FREQUENT, FREQUENT_LEAST = 0.005, 500
@@ -291,7 +291,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: int = THRESHOLD) -> DataFrame:
                 keep.append(100 * o >= t * (na[i].as_py() + nb[i].as_py() - o))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
+    return arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "ta", "nb", "tb"), run, "a long, b long")
 
 
 def light_keys(n: int, light: int = LIGHT_MOST, t: int = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -324,7 +324,7 @@ def _subsets(light: int, t: int):
 def light_links(sets: DataFrame, light: int, t: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between small sets: each is linked with the smallest class that shares a subset with it."""
     few = sets.where((F.col("n") > 0) & (F.col("n") <= _partner(light, t))).select("h", "n", "tokens").dropDuplicates(["h"])
-    s = few.mapInArrow(_subsets(light, t), "h long, n long, low long, high long, key long").where("n = low or n = high")
+    s = arrow(few, _subsets(light, t), "h long, n long, low long, high long, key long").where("n = low or n = high")
     by = ["low", "high", "key"]
     best = s.groupBy(by).agg(F.min(F.when(F.col("n") == F.col("low"), F.col("h"))).alias("x"), F.min(F.when(F.col("n") == F.col("high"), F.col("h"))).alias("y")).where("x is not null and y is not null")
     return s.join(best, by).select(F.col("h").alias("a"), F.explode(F.array(F.when(F.col("n") == F.col("low"), F.col("y")), F.when(F.col("n") == F.col("high"), F.col("x")))).alias("b")).where("b is not null and a <> b").distinct()
@@ -345,16 +345,16 @@ def links(docs: DataFrame, words: int = WORDS, t: int = THRESHOLD) -> tuple[Data
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = settle(docs.mapInArrow(_sets(words, t), f"doc_id {kind}, n long, h long, tokens array<long>, seen array<struct<token:long,k:long>>"), "sets")
+    rows = settle(arrow(docs, _sets(words, t), f"doc_id {kind}, n long, h long, tokens array<long>, seen array<struct<token:long,k:long>>"), "sets")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = min(max(1, -(-total // RANGE)), 1 << 24)
     classes = rows.agg(F.approx_count_distinct("h")).first()[0]
     often = rows.select(F.explode("seen").alias("s")).groupBy("s.token").agg(F.sum("s.k").alias("k")).where(F.col("k") >= max(FREQUENT_LEAST, FREQUENT / 2 * classes))
     frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
     known = docs.where("doc_id is not null")
-    blocks = known.mapInArrow(_blocks(words, ranges, frequent), _BLOCK)
-    shared = blocks.repartition(max(ranges, 2), "p").mapInArrow(_shared(ranges), "q int, p int, keys binary, sizes binary, counts binary, tokens binary, df binary")
-    heavy = settle(shared.repartition(max(ranges, 2), "q").mapInArrow(_prefixes(t), "h long, n long, tokens binary, prefix array<long>, skipped long"), "prefixes")
+    blocks = arrow(known, _blocks(words, ranges, frequent), _BLOCK)
+    shared = arrow(blocks.repartition(max(ranges, 2), "p"), _shared(ranges), "q int, p int, keys binary, sizes binary, counts binary, tokens binary, df binary")
+    heavy = settle(arrow(shared.repartition(max(ranges, 2), "q"), _prefixes(t), "h long, n long, tokens binary, prefix array<long>, skipped long"), "prefixes")
 
     few = rows.where(F.col("doc_id").isNotNull() & F.col("n").between(1, _partner(LIGHT_MOST, t)))
     sizes = {r["n"]: r["k"] for r in few.groupBy("n").agg(F.countDistinct("h").alias("k")).collect()}

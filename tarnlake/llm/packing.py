@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import arrow, settle
 from .tokenizer import byte_bpe
 
 CAPACITY = 2048
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None = No
             cols = [batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return arrow(docs.select("doc_id", "text"), cut, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def _round(items: DataFrame, groups: int, capacity: int, level: int, key: list)
         yield from t.to_batches(max_chunksize=100_000)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
-    return settle(dealt.mapInArrow(packed, f"{schema}, bin long, place long, fill long"), f"packed{level}")
+    return settle(arrow(dealt, packed, f"{schema}, bin long, place long, fill long"), f"packed{level}")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack: int = SLACK, on_round: Callable[[int, int], None] | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ those with the smallest hash of their doc_id, as long as those before have fewer
 of their label; each with all its lines. A document's label stands for its lines. Scoring reads every whole text once, without a shuffle.
 
 Defined results: a null or empty text, or one of empty lines, counts as a single empty line;
-repeated rows get equal scores; a null doc_id is scored but never a training row; other columns are
-carried through (``score`` is replaced); an empty table gives an empty result; without labels of
+repeated rows get equal scores; a null doc_id is scored but never a training row; of rows that repeat a
+labelled doc_id the least text is learnt from; other columns are carried through (``score`` is replaced); an empty table gives an empty result; without labels of
 both kinds every score is 1 (nothing is rejected).
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, slabs, span_hashes, word_bounds
+from .common import arrow, settle, slabs, span_hashes, word_bounds
 
 PER_CLASS = 1500
 #: Lines of each label from which no further document is taken: 1500 documents of 256 lines.
@@ -190,8 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     ok = labels.where((F.lit(True) if train_rows is None else train_rows) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     ok = ok.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     few = [ok.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    # At most 2 * per_class rows of two numbers: broadcasting them has a fixed bound.
+    # At most 2 * per_class rows of an identifier and a number: broadcasting them has a fixed bound.
     d = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    d = d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, bounds in slabs(batches, "text", SLAB):
@@ -200,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
             col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), col], names=["doc_id", "y", "f"])
 
-    d = settle(d.mapInArrow(features, "doc_id long, y int, f array<float>"), "lines")
+    d = settle(arrow(d, features, f"doc_id {kind}, y int, f array<float>"), "lines")
     sizes = d.groupBy("doc_id", "y").agg(F.sum(F.size("f") / FEATURES).alias("k")).select("*", F.xxhash64("doc_id").alias("h")).collect()
     before, ids = [0, 0], []
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
@@ -227,4 +229,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             z = pa.array(model.scores(raw, bounds), pa.float64())
             yield pa.RecordBatch.from_arrays([*rows.columns, z], names=[*rows.schema.names, into])
 
-    return docs.select(*keep).mapInArrow(scored, schema)
+    return arrow(docs.select(*keep), scored, schema)

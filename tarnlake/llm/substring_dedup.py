@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CODES, mix, settle, slabs, span_hashes
+from .common import arrow, settle, slabs, span_hashes
 
 LENGTH = 400
 GRAM = 128
@@ -375,10 +375,10 @@ def _crowd_windows(length: int):
 
 def _crowded(few: DataFrame, length: int, gram: int) -> DataFrame:
     """low, own, a, b: windows of crowded hashes that another segment holds too."""
-    blocks = settle(few.mapInArrow(_crowd_blocks(length, gram), "low long, own long, block int, core long, a int, bytes binary, shift int"), "blocks")
+    blocks = settle(arrow(few, _crowd_blocks(length, gram), "low long, own long, block int, core long, a int, bytes binary, shift int"), "blocks")
     by = ["low", "block", "core"]
     twice = blocks.groupBy(*by).count().where("count > 1").select(*by)
-    windows = blocks.join(twice, by).mapInArrow(_crowd_windows(length), "low long, own long, block int, core long, a int, shift int, hash long")
+    windows = arrow(blocks.join(twice, by), _crowd_windows(length), "low long, own long, block int, core long, a int, shift int, hash long")
     windows = settle(windows, "windows")
     by = ["low", "block", "core", "shift", "hash"]
     again = windows.groupBy(*by).count().where("count > 1").select(*by)
@@ -447,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.select("k", "text").mapInArrow(_emit_segments(length, gram), "low long, own long, k long, start long, n int, recurs boolean")
+    cut = arrow(docs.select("k", "text"), _emit_segments(length, gram), "low long, own long, k long, start long, n int, recurs boolean")
     cut = settle(cut, "segments")
 
     equal = cut.groupBy("low", "own").agg(F.count("*").alias("c"), F.min(F.struct("k", "start", "n")).alias("one"), F.max("recurs").alias("recurs"))
@@ -457,10 +457,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
 
     want = equal.where("unsure").select("one.k", F.struct("low", "own", "one.start", "one.n").alias("w"))
     want = want.groupBy("k").agg(F.collect_list("w").alias("want"))
-    texts = docs.select("k", "text").join(want, "k").mapInArrow(_cut_out(length), "low long, own long, n int, bytes binary")
+    texts = arrow(docs.select("k", "text").join(want, "k"), _cut_out(length), "low long, own long, n int, bytes binary")
     texts = settle(texts.join(unequal_sizes(equal), "low"), "unequal")
     few = texts.where(F.col("m") <= crowd).repartition(max(parts, 2), "low").select("low", "own", "n", "bytes")
-    found = few.mapInArrow(_index_groups(length, gram), "low long, own long, a int, b int")
+    found = arrow(few, _index_groups(length, gram), "low long, own long, a int, b int")
     found = found.unionByName(_crowded(texts.where(F.col("m") > crowd).dropDuplicates(["low", "own"]).select("low", "own", "n", "bytes"), length, gram))
     whole = equal.where("c > 1").select("low", "own", F.lit(0).alias("a"), F.col("one.n").alias("b"))
     ranges = settle(found.join(whole.select("low", "own"), ["low", "own"], "left_anti").unionByName(whole), "ranges")
@@ -468,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     gone = cut.join(ranges, ["low", "own"]).select("k", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("x"))
     gone = gone.groupBy("k").agg(F.collect_set("x").alias("gone"))
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return docs.join(gone, "k", "left").select("doc_id", "text", "gone").mapInArrow(_remove(length, with_text), schema)
+    return arrow(docs.join(gone, "k", "left").select("doc_id", "text", "gone"), _remove(length, with_text), schema)
 
 
 def unequal_sizes(equal: DataFrame) -> DataFrame:

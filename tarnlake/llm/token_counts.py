@@ -188,7 +188,7 @@ def counts(docs: DataFrame, edits: Callable[[str], Sequence[Edit]] = mask_number
             cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *_OUT])
 
-    return docs.select("doc_id", "text").mapInArrow(counted, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _OUT))
+    return arrow(docs.select("doc_id", "text"), counted, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _OUT))
 
 
 _OUT = ("n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded")

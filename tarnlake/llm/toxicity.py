@@ -1,21 +1,26 @@
 """Operator 5: toxicity, a character n-gram linear classifier with naive Bayes scaled features.
 
-Texts are folded (letter case, punctuation to spaces) and cut into byte n-grams of ``GRAMS``
-lengths, hashed into ``BUCKETS`` buckets. A feature is the presence of a bucket, scaled by its
-naive Bayes log-count ratio; a logistic regression over the scaled features gives the score
-(Wang and Manning, 2012). ``train`` fits on a bounded sample of labelled rows: at most ``PER_CLASS``
-documents of each label, the ones with the smallest hash of their doc_id. Scoring reads every
-whole text once, in vectorised slabs, without a shuffle.
+Texts are folded (lower case, everything but letters, marks and digits to spaces, a space at both ends)
+and cut into character n-grams of ``GRAMS`` lengths, hashed into ``BUCKETS`` buckets. A feature is the
+presence of a bucket, scaled by its naive Bayes log-count ratio; a logistic regression over the scaled
+features gives the score (Wang and Manning, 2012). Its regularisation is the one of ``STRENGTHS`` that
+does best on folds of the training rows, each fold with ratios that have not seen it; the bias is set so
+that the best threshold there has the score ``DECISION``.
+
+``train`` fits on a bounded sample of labelled rows: at most ``PER_CLASS`` documents of each label, the
+ones with the smallest hash of their doc_id, each with its whole text. Buckets are counted by label and
+fold in the executors; the driver gets those whose ratio stands out from chance, and which of them each
+sampled document has. Scoring reads every whole text once, in vectorised slabs, without a shuffle.
 
 Defined results: a null or empty text has no n-gram, its score is the model's bias; repeated rows
-get equal scores; a null doc_id is scored but never a training row; other columns are carried
-through (``score`` is replaced); an empty table gives an empty result; without labels of both
-kinds every score is 0.
+get equal scores; a null doc_id is scored but never a training row; of rows that repeat a labelled doc_id
+the least text is learnt from; other columns are carried through (``score`` is replaced); an empty table
+gives an empty result; without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
 
-import zlib
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,60 +30,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slabs
+from .common import arrow, settle, slabs
 
-BITS = 20
+BITS = 22
 BUCKETS = 1 << BITS
-#: Bytes to an n-gram; accented letters take two.
-GRAMS = (4, 6, 8)
+#: Characters to an n-gram.
+GRAMS = (4, 5, 6, 7, 8)
 PER_CLASS = 2500
-#: Buckets that keep a weight.
-KEPT = 4096
+FOLDS = 3
+STRENGTHS = (0.2, 2.0)
+#: Score that the threshold found on the folds is mapped to.
+DECISION = 0.7
+#: A bucket is a feature from so many standard deviations of its log ratio, and so many documents, on.
+STANDS_OUT, LEAST = 2.5, 4
 SLAB = 1 << 20
-_MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-
-
-def _folding() -> np.ndarray:
-    t = np.arange(256, dtype=np.uint8)
-    t[:128] = 32
-    for a, b in (("09", "09"), ("az", "az"), ("AZ", "az")):
-        t[ord(a[0]) : ord(a[1]) + 1] = np.arange(ord(b[0]), ord(b[1]) + 1)
-    return t
-
-
-_FOLD = _folding()
-
-
-def fold(raw: np.ndarray) -> np.ndarray:
-    """Lower-case ASCII and Latin-1 letters of UTF-8 bytes; other ASCII characters become spaces."""
-    out = _FOLD[raw]
-    if len(raw):
-        upper = np.zeros(len(raw), bool)
-        upper[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[upper] += 0x20
-    return out
-
-
-def gram_buckets(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram length: (bucket at each byte, last byte + 1 at which a text's n-grams begin)."""
-    padded = np.full(len(raw) + 8, 32, np.uint8)
-    padded[: len(raw)] = fold(raw)
-    at = np.ndarray(len(raw), "<u8", padded, strides=(1,))
-    for n, k in zip(GRAMS, _MUL, strict=False):
-        v = at << np.uint64(64 - 8 * n) if n < 8 else at.copy()
-        v *= k
-        v ^= v >> np.uint64(29)
-        v *= _MUL[3]
-        yield (v >> np.uint64(64 - BITS)).astype(np.uint32), bounds[1:] - n + 1
-
-
-def _present(raw: np.ndarray, bounds: np.ndarray, useful: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+#: Buckets to a block in which they are counted together.
+_BLOCK = 14
+_MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+#: Letters, marks and digits; beyond these planes every character counts as one.
+_PLANES = 0x20000
+_KEEP: list[np.ndarray] = []
+
+
+def _kept() -> np.ndarray:
+    if not _KEEP:
+        _KEEP.append(np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(_PLANES)]))
+    return _KEEP[0]
+
+
+def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, bounds): text i is at bounds[i] to bounds[i + 1], with the space before it; one more ends the last."""
+    low = [(t or "").lower() for t in texts]
+    c = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le"), np.uint32)
+    c = np.where(_kept()[np.minimum(c, _PLANES - 1)] | (c >= _PLANES), c, np.uint32(32))
+    return c, np.cumsum([0, *(len(t) + 1 for t in low)])
+
+
+def gram_buckets(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n-gram length: the bucket of the n-gram from each character on."""
+    h = np.zeros(len(c), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        m = len(c) - n + 1
+        if m <= 0:
+            return
+        h = h[:m] * _MUL[0]
+        h += c[n - 1 :]
+        h += np.uint64(1)
+        h ^= h >> np.uint64(29)
+        h *= _MUL[1]
+        if n in GRAMS:
+            yield n, (h >> np.uint64(64 - BITS)).astype(np.uint32)
+
+
+def _present(texts: list[str | None], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs, by row; only buckets that are marked in ``useful``."""
+    c, bounds = folded(texts)
     keys = []
-    for bucket, last in gram_buckets(raw, bounds):
+    for n, bucket in gram_buckets(c):
         where = np.flatnonzero(useful[bucket]) if useful is not None else np.arange(len(bucket))
         row = np.searchsorted(bounds, where, "right") - 1
-        inside = where < last[row]
+        inside = row < len(texts)
+        inside[inside] = where[inside] + n <= bounds[row[inside] + 1] + 1
         keys.append(row[inside] << BITS | bucket[where[inside]].astype(np.int64))
     keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return keys >> BITS, keys & (BUCKETS - 1)
@@ -90,12 +102,20 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        table = np.zeros(BUCKETS, np.float32)
-        table[self.buckets] = self.weights
-        row, bucket = _present(raw, bounds, table != 0)
-        z = self.bias + np.bincount(row, table[bucket], len(bounds) - 1)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if "_useful" not in self.__dict__:
+            self._useful = np.zeros(BUCKETS, bool)
+            self._useful[self.buckets] = True
+        row, bucket = _present(texts, self._useful)
+        z = self.bias + np.bincount(row, self.weights[np.searchsorted(self.buckets, bucket)], len(texts))
+        return _sigmoid(z)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_useful"}
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _descend(which, cols, scale, y, weight, n: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -104,7 +124,7 @@ def _descend(which, cols, scale, y, weight, n: int, l2: float, rounds: int) -> t
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(which, w[cols] * scale, len(y))
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        g = weight * (_sigmoid(z) - y)
         gw, gb = np.bincount(cols, g[which] * scale, n) + l2 * w / len(y), g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = 0.05 / (1 - 0.9**t)
@@ -113,49 +133,60 @@ def _descend(which, cols, scale, y, weight, n: int, l2: float, rounds: int) -> t
     return w, float(b)
 
 
-def _pack(buckets: np.ndarray) -> bytes:
-    """Ascending bucket numbers as compressed differences, about a byte each."""
-    return zlib.compress(np.diff(buckets, prepend=0).astype("<u4").tobytes(), 1)
+def log_ratios(counts: np.ndarray, rows: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(naive Bayes log-count ratio, whether it stands out from chance) of each bucket.
+
+    ``counts`` are the documents without and with the label that have it, ``rows`` all documents of either kind.
+    """
+    neg, pos = counts[:, 0] + alpha, counts[:, 1] + alpha
+    ratio = np.log(pos / (rows[1] + 2 * alpha)) - np.log(neg / (rows[0] + 2 * alpha))
+    return ratio, (np.abs(ratio) >= STANDS_OUT * np.sqrt(1 / pos + 1 / neg)) & (counts.sum(1) >= LEAST)
+
 
+def _fit(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, useful: np.ndarray, l2: float, rounds: int = 160) -> tuple[np.ndarray, float]:
+    """(weight of each bucket's presence, bias) from the buckets of each document, as places in ``ratio``."""
+    live = np.flatnonzero(useful)
+    index = np.zeros(len(useful), np.int64)
+    index[live] = np.arange(len(live))
+    kept = [index[r[useful[r]]] for r in found]
+    which, cols = np.repeat(np.arange(len(kept)), [len(r) for r in kept]), np.concatenate(kept)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = _descend(which, cols, ratio[live][cols], y, weight, len(live), l2, rounds)
+    out = np.zeros(len(useful))
+    out[live] = w * ratio[live]
+    return out, b
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4")).astype(np.int64)
 
+def _threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(value, threshold) with the most of the labelled caught, less twice the share of the others caught with them."""
+    order = np.argsort(-z, kind="stable")
+    gain = np.cumsum(y[order]) / y.sum() - 2 * np.cumsum(1 - y[order]) / (1 - y).sum()
+    k = int(gain.argmax())
+    return float(gain[k]), float((z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2)
 
-def fit(rows: list[bytes], y: np.ndarray, alpha: float = 0.5, l2: float = 2e-3, rounds: int = 160) -> Model:
-    """Naive Bayes log-count ratios, then logistic regression over the scaled presence of each bucket.
 
-    Rows come as packed by ``_pack`` and are unpacked one at a time; only useful buckets stay in memory.
-    """
+def fit(buckets: np.ndarray, counts: np.ndarray, found: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model:
+    """The model from each bucket's documents by (fold, label), and each document's buckets as places in ``buckets``."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
-    pos, neg = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
-    for r, k in zip(rows, y, strict=True):
-        (pos if k else neg)[_unpack(r)] += 1
-    ratio = np.log(pos / (y.sum() + 2 * alpha)) - np.log(neg / ((1 - y).sum() + 2 * alpha))
-    # Only buckets whose ratio stands out from chance can separate the classes in long texts.
-    useful = (np.abs(ratio) >= 2.5 * np.sqrt(1 / pos + 1 / neg)) & (pos + neg >= 3)
-    live = np.flatnonzero(useful)
-    index = np.zeros(BUCKETS, np.int32)
-    index[live] = np.arange(len(live))
-    ratio = ratio[live]
-    kept = [index[b[useful[b]]] for b in map(_unpack, rows)]
-    which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
-    cols = np.concatenate(kept)
-    scale = ratio[cols]
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, b = _descend(which, cols, scale, y, weight, len(live), l2, rounds)
-    # The strongest buckets carry the decision; the rest would only add noise to long texts.
-    gain = np.abs(w * ratio) * np.sqrt(np.bincount(cols, minlength=len(live)))
-    if (gain > 0).sum() > KEPT:
-        strong = gain >= np.partition(gain, -KEPT)[-KEPT]
-        some = strong[cols]
-        which, cols, scale = which[some], cols[some], scale[some]
-        w, b = _descend(which, cols, scale, y, weight, len(live), l2, rounds)
-    final = (w * ratio).astype(np.float32)
-    keep = np.abs(final) > 1e-3
-    return Model(live[keep], final[keep], b)
+    rows = np.array([[((fold == k) & (y == v)).sum() for v in (0, 1)] for k in range(FOLDS)])
+    best, shift = STRENGTHS[0], 0.0
+    if rows.min() >= 5:
+        z = np.zeros((len(STRENGTHS), len(y)))
+        for k in range(FOLDS):
+            ratio, useful = log_ratios(counts.sum(1) - counts[:, k], rows.sum(0) - rows[k])
+            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            for i, l2 in enumerate(STRENGTHS):
+                w, b = _fit([found[r] for r in rest], y[rest], ratio, useful, l2)
+                z[i, own] = [b + w[found[r]].sum() for r in own]
+        tried = [_threshold(x, y) for x in z]
+        i = max(range(len(STRENGTHS)), key=lambda i: (tried[i][0], STRENGTHS[i]))
+        best, shift = STRENGTHS[i], np.log(DECISION / (1 - DECISION)) - tried[i][1]
+    ratio, useful = log_ratios(counts.sum(1), rows.sum(0))
+    w, b = _fit(found, y, ratio, useful, best)
+    keep = np.abs(w) > 1e-3
+    return Model(buckets[keep], w[keep].astype(np.float32), float(b + shift))
 
 
 def _labelled(labels: DataFrame, label: str, train_rows, per_class: int) -> DataFrame:
@@ -166,23 +197,78 @@ def _labelled(labels: DataFrame, label: str, train_rows, per_class: int) -> Data
     return few[0].unionByName(few[1])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slab, by block: bucket * 2 * FOLDS + fold * 2 + label, and the number of documents."""
+    width = 2 * FOLDS
+    for rows, _, _ in slabs(batches, "text", SLAB):
+        row, bucket = _present(rows.column("text").to_pylist())
+        key, n = np.unique(bucket * width + (rows.column("fold").to_numpy() * 2 + rows.column("y").to_numpy())[row], return_counts=True)
+        block = key // (width << _BLOCK)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+        parts = list(zip(cuts, cuts[1:], strict=False))
+        cols = [pa.array([int(block[a]) for a, _ in parts], pa.int32())]
+        cols += [pa.array([x[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()) for x in (key, n)]
+        yield pa.RecordBatch.from_arrays(cols, names=["block", "key", "n"])
+
+
+def _select(rows: np.ndarray):
+    """Buckets that stand out in all documents or in all but a fold, with their counts by (fold, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        width = 2 * FOLDS
+        for batch in batches:
+            for block, key, n in zip(*(batch.column(c).to_pylist() for c in ("block", "key", "n")), strict=True):
+                if block not in sums:
+                    sums[block] = np.zeros(width << _BLOCK, np.int64)
+                sums[block][np.frombuffer(key, "<u4") - block * (width << _BLOCK)] += np.frombuffer(n, "<u4")
+        for block, total in sorted(sums.items()):
+            counts = total.reshape(-1, FOLDS, 2)
+            useful = log_ratios(counts.sum(1), rows.sum(0))[1]
+            for k in range(FOLDS):
+                useful |= log_ratios(counts.sum(1) - counts[:, k], rows.sum(0) - rows[k])[1]
+            some = np.flatnonzero(useful)
+            yield pa.RecordBatch.from_arrays([pa.array((block << _BLOCK) + some, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in counts[some]], pa.binary())], names=["bucket", "counts"])
+
+    return run
+
+
+def _find(buckets: np.ndarray):
+    """Each document's features, as places in ``buckets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        useful = np.zeros(BUCKETS, bool)
+        useful[buckets] = True
+        for rows, _, _ in slabs(batches, "text", SLAB):
+            row, bucket = _present(rows.column("text").to_pylist(), useful)
+            ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            at = np.searchsorted(buckets, bucket).astype("<u4")
+            col = pa.array([at[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("h", "y", "fold")), col], names=["h", "y", "fold", "found"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=None, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents for which ``train_rows`` holds (all by default)."""
     few = _labelled(labels, label, F.lit(True) if train_rows is None else train_rows, per_class)
-    # At most 2 * per_class rows of a number each: broadcasting them has a fixed bound.
+    # At most 2 * per_class rows of an identifier and a number: broadcasting them has a fixed bound.
     d = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, bounds in slabs(batches, "text", SLAB):
-            row, bucket = _present(raw, bounds, None)
-            ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            col = pa.array([_pack(bucket[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), col], names=["doc_id", "y", "buckets"])
-
-    got = d.mapInArrow(features, "doc_id long, y int, buckets binary").toArrow()
-    got = got.sort_by("doc_id")
-    rows = got.column("buckets").to_pylist()
-    return fit(rows, got.column("y").to_numpy())
+    d = d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    d = d.select(F.xxhash64("doc_id").alias("h"), "y", "text").withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int"))
+    d = settle(d, "labelled")
+    rows = np.zeros((FOLDS, 2), np.int64)
+    for r in d.groupBy("fold", "y").count().collect():
+        rows[r["fold"], r["y"]] = r["count"]
+    if not rows.sum(0).all():
+        return fit(np.zeros(0, np.int64), np.zeros((0, FOLDS, 2)), [], np.zeros(0), np.zeros(0))
+    counted = arrow(d, _count, "block int, key binary, n binary").repartition("block")
+    got = arrow(counted, _select(rows), "bucket long, counts binary").toArrow().sort_by("bucket")
+    buckets = got.column("bucket").to_numpy()
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), "<u4").astype(np.int64).reshape(-1, FOLDS, 2)
+    got = arrow(d, _find(buckets), "h long, y int, fold int, found binary").toArrow().sort_by([(c, "ascending") for c in ("h", "y", "found")])
+    found = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("found").to_pylist()]
+    return fit(buckets, counts, found, got.column("y").to_numpy(), got.column("fold").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -191,8 +277,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, bounds in slabs(batches, text, SLAB):
-            z = pa.array(model.scores(raw, bounds), pa.float64())
+        for rows, _, _ in slabs(batches, text, SLAB):
+            z = pa.array(model.scores(rows.column(rows.schema.get_field_index(text)).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*rows.columns, z], names=[*rows.schema.names, into])
 
-    return docs.select(*keep).mapInArrow(scored, schema)
+    return arrow(docs.select(*keep), scored, schema)

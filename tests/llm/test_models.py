@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,56 @@ def test_chain_marginals_equal_enumeration():
             total += p
             good += p * y
         np.testing.assert_allclose(1 / (1 + np.exp(-(fwd + u + bwd)[row == k])), good / total)
+
+
+def _grams(text):
+    """Character n-grams of a text, in plain Python."""
+    t = " " + "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in (text or "").lower()) + " "
+    return {t[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
+
+
+def _bucket(gram):
+    return int(dict(toxicity.gram_buckets(np.array([ord(c) for c in gram], np.uint32)))[len(gram)][0])
+
+
+def test_grams_counts_ratios_and_scores_equal_plain_python(spark, monkeypatch):
+    good, bad = "Some plain Words, ïn ordinary Äußerung", "you utter NITWIT go away"
+    texts = [(f"d{i}", f"{bad if i % 3 == 0 else good} {i * 37 % 11} {'東京 ١٢' if i % 4 else ''}") for i in range(60)] + [("d1", "a repeated id"), ("n", None)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic int")
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: seen.append(a) or fit(*a))
+    model = toxicity.train(docs, labels)
+    buckets, counts, found, y, fold = seen[0]
+    own = {"d1": min("a repeated id", texts[1][1])}
+    sets = [{_bucket(g) for g in _grams(own.get(d, t))} for d, t in texts[:60]]
+    label = [int(i % 3 == 0) for i in range(60)]
+    for b, c in zip(buckets, counts.sum(1), strict=True):
+        assert list(c) == [sum(b in s for s, k in zip(sets, label) if k == v) for v in (0, 1)]
+    ratio, useful = toxicity.log_ratios(counts.sum(1), np.array([40, 20]))
+    for c, r, u in zip(counts.sum(1), ratio, useful, strict=True):
+        want = np.log((c[1] + 1) / 22) - np.log((c[0] + 1) / 42)
+        assert np.isclose(r, want) and u == (abs(want) >= 2.5 * np.sqrt(1 / (c[0] + 1) + 1 / (c[1] + 1)) and c.sum() >= 4)
+    assert sorted(y.tolist()) == sorted(label)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.score(docs, model).collect():
+        z = model.bias + sum(weight.get(b, 0) for b in {_bucket(g) for g in _grams(r["text"])})
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z)), atol=1e-6)
+    assert all((r["score"] >= 0.7) == (int(r["doc_id"][1:]) % 3 == 0) for r in toxicity.score(docs.where("doc_id not in ('n', 'd1')"), model).collect())
+
+
+def test_folds_choose_the_threshold():
+    z, y = np.array([5.0, 4, 3, 2, 1, 0, -1]), np.array([1, 1, 0, 1, 0, 0, 0])
+    assert toxicity._threshold(z, y)[1] == 3.5 and np.isclose(toxicity._threshold(z, y)[0], 2 / 3)
+
+
+@pytest.mark.parametrize("module, label", [(quality_model, "quality"), (toxicity, "toxic")])
+def test_any_type_of_id_and_repeated_ids(spark, sf, module, label):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = module.train(docs, labels)
+    twice = docs.unionByName(docs).unionByName(docs.select("doc_id", F.lit("\U0010ffff another text").alias("text"), "lang", "source", "n_chars"))
+    again = module.train(twice, labels)
+    assert [r["score"] for r in module.score(docs, model).collect()] == [r["score"] for r in module.score(docs, again).collect()]
+    named = [d.withColumn("doc_id", F.concat(F.lit("n"), "doc_id")) for d in (docs, labels)]
+    out = module.score(named[0], module.train(*named)).select("doc_id", "score").collect()
+    assert len(out) == docs.count() and out[0]["doc_id"].startswith("n")
