@@ -38,11 +38,11 @@ BUCKETS = 1 << BITS
 GRAMS = (4, 5, 6, 7, 8)
 PER_CLASS = 2500
 FOLDS = 3
-STRENGTHS = (0.2, 2.0)
+STRENGTHS = (0.5, 2.0)
 #: Score that the threshold found on the folds is mapped to.
 DECISION = 0.7
 #: A bucket is a feature from so many standard deviations of its log ratio, and so many documents, on.
-STANDS_OUT, LEAST = 2.5, 4
+STANDS_OUT, LEAST = 3.0, 4
 SLAB = 1 << 20
 #: Buckets to a block in which they are counted together.
 _BLOCK = 14
@@ -118,19 +118,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(which, cols, scale, y, weight, n: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Adam on the class-balanced logistic loss of the pairs (row, feature)."""
+def _descend(which, cols, ratio, y, weight, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Adam on the class-balanced logistic loss of the pairs (row, feature); a feature that is present has its ratio as value."""
+    n = len(ratio)
     w, b = np.zeros(n), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(which, w[cols] * scale, len(y))
+        z = b + np.bincount(which, (w * ratio)[cols], len(y))
         g = weight * (_sigmoid(z) - y)
-        gw, gb = np.bincount(cols, g[which] * scale, n) + l2 * w / len(y), g.sum()
+        gw, gb = np.bincount(cols, g[which], n) * ratio + l2 * w / len(y), g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = 0.05 / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= step * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, float(b)
+    return w * ratio, float(b)
 
 
 def log_ratios(counts: np.ndarray, rows: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -143,17 +144,17 @@ def log_ratios(counts: np.ndarray, rows: np.ndarray, alpha: float = 1.0) -> tupl
     return ratio, (np.abs(ratio) >= STANDS_OUT * np.sqrt(1 / pos + 1 / neg)) & (counts.sum(1) >= LEAST)
 
 
-def _fit(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, useful: np.ndarray, l2: float, rounds: int = 160) -> tuple[np.ndarray, float]:
+def _fit(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, useful: np.ndarray, l2: float, rounds: int = 100) -> tuple[np.ndarray, float]:
     """(weight of each bucket's presence, bias) from the buckets of each document, as places in ``ratio``."""
     live = np.flatnonzero(useful)
-    index = np.zeros(len(useful), np.int64)
-    index[live] = np.arange(len(live))
+    index = np.zeros(len(useful), np.int32)
+    index[live] = np.arange(len(live), dtype=np.int32)
     kept = [index[r[useful[r]]] for r in found]
-    which, cols = np.repeat(np.arange(len(kept)), [len(r) for r in kept]), np.concatenate(kept)
+    which, cols = np.repeat(np.arange(len(kept), dtype=np.int32), [len(r) for r in kept]), np.concatenate(kept)
+    del kept
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, b = _descend(which, cols, ratio[live][cols], y, weight, len(live), l2, rounds)
     out = np.zeros(len(useful))
-    out[live] = w * ratio[live]
+    out[live], b = _descend(which, cols, ratio[live], y, weight, l2, rounds)
     return out, b
 
 
@@ -242,7 +243,7 @@ def _find(buckets: np.ndarray):
         for rows, _, _ in slabs(batches, "text", SLAB):
             row, bucket = _present(rows.column("text").to_pylist(), useful)
             ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            at = np.searchsorted(buckets, bucket).astype("<u4")
+            at = np.searchsorted(buckets, bucket).astype("<i4")
             col = pa.array([at[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("h", "y", "fold")), col], names=["h", "y", "fold", "found"])
 
@@ -267,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=N
     buckets = got.column("bucket").to_numpy()
     counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), "<u4").astype(np.int64).reshape(-1, FOLDS, 2)
     got = arrow(d, _find(buckets), "h long, y int, fold int, found binary").toArrow().sort_by([(c, "ascending") for c in ("h", "y", "found")])
-    found = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("found").to_pylist()]
+    found = [np.frombuffer(x, "<i4") for x in got.column("found").to_pylist()]
     return fit(buckets, counts, found, got.column("y").to_numpy(), got.column("fold").to_numpy())
 
 
