@@ -33,7 +33,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counts(table(spark, sf_dir, "documents"))
+    return token_counts.counts(table(spark, sf_dir, "documents"), token_counts.number_edits)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

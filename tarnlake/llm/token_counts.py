@@ -7,12 +7,15 @@ re-encodes only the pre-tokens it touches plus their boundary context: cutting s
 pre-token could have seen the edit and stops at the first boundary that falls on an old one. Then the
 sums of those blocks and of their ancestors are updated.
 
-``counts`` builds the trees of a table's documents, applies an edit function and returns the counts
-before and after. Special-token strings count as ordinary text.
+``build`` encodes a table once and returns its trees as a table, one row to a document, to be kept.
+``apply`` joins an edits table to it by doc_id and returns the trees as they then are, with the pre-tokens
+that were encoded again; trees without an edit pass through as they are and never reach Python.
+``counts`` does both. Special-token strings count as ordinary text.
 
 Defined results: a null or empty text has no token; a null doc_id and repeated rows are counted like
-any other row; edits that overlap or leave the text raise ValueError; an empty table gives an empty
-result. Only doc_id and text are read.
+any other row; the edits of a doc_id apply to each of its rows, those of a null or unknown one to none;
+a null replacement is empty; edits that overlap or leave the text raise ValueError; of the documents only
+doc_id and text are read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .common import arrow, settle
 from .tokenizer import Encoder, byte_bpe
 
 BLOCK = 64
@@ -46,18 +51,28 @@ class TokenTree:
     def __init__(self, text: str, encoder: Encoder):
         self.encoder = encoder
         self.reencoded = 0
-        ends = np.fromiter((m.end() for m in encoder.pieces().finditer(text)), np.int64)
-        self._plant(self._blocks(text, np.diff(ends, prepend=0), self._count(text, ends)))
-
-    def _count(self, text: str, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token, from one pass over the whole text."""
-        if not len(ends):
-            return np.zeros(0, np.int64)
-        token_ends = np.cumsum(self.encoder.token_bytes()[self.encoder.encode_plain(text)])
-        if not text.isascii():
-            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            ends = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))[ends - 1]
-        return np.diff(np.searchsorted(token_ends, ends, "right"), prepend=0)
+        lengths = encoder.cut(text)
+        self._plant(self._blocks(text, lengths, encoder.count(text, lengths)))
+
+    def dump(self) -> tuple[str, bytes, bytes, bytes, bytes]:
+        """(text, lengths and counts of the pre-tokens, pre-tokens of the blocks, sums of the tree) to be kept."""
+        lengths, counts = (np.concatenate([np.zeros(0, np.int64), *(getattr(b, k) for b in self.blocks)]).astype("<u4") for k in ("lengths", "counts"))
+        sizes = np.array([len(b.lengths) for b in self.blocks], "<u4")
+        return self.text, lengths.tobytes(), counts.tobytes(), sizes.tobytes(), self.tree.astype("<i8").tobytes()
+
+    @classmethod
+    def load(cls, encoder: Encoder, text: str, lengths: bytes, counts: bytes, sizes: bytes, tree: bytes) -> TokenTree:
+        """The tree that ``dump`` has kept; nothing is encoded or summed again."""
+        self = cls.__new__(cls)
+        self.encoder, self.reencoded = encoder, 0
+        n, k = (np.frombuffer(x, "<u4").astype(np.int64) for x in (lengths, counts))
+        cuts = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
+        at = np.concatenate([[0], np.cumsum(n)])
+        starts = [0, *cuts[:-1].tolist()] if len(cuts) else []
+        self.blocks = [Block(text[at[i] : at[j]], n[i:j], k[i:j]) for i, j in zip(starts, cuts.tolist(), strict=True)]
+        self.tree = np.frombuffer(tree, "<i8").reshape(-1, 2).copy()
+        self.size = len(self.tree) // 2
+        return self
 
     @staticmethod
     def _blocks(text: str, lengths: np.ndarray, counts: np.ndarray, parts: int = 0) -> list[Block]:
@@ -125,6 +140,12 @@ class TokenTree:
         while not self._recut(lo, hi, a - before, b - before, new):
             hi = min(2 * hi - lo + 1, len(self.blocks) - 1)
 
+    def _ends(self, text: str, at: int) -> Iterator[int]:
+        """Ends of the pre-tokens from a boundary on, one by one."""
+        if self.encoder.certain(text):
+            return (m.end() for m in self.encoder.pieces().finditer(text, at))
+        return iter((at + np.cumsum(self.encoder.cut(text[at:]))).tolist())
+
     def _recut(self, lo: int, hi: int, a: int, b: int, new: str) -> bool:
         """Edit the text of the blocks lo..hi; False if the cuts do not meet again within them."""
         part = self.blocks[lo : hi + 1]
@@ -136,11 +157,11 @@ class TokenTree:
         at = int(ends[kept - 1]) if kept else 0
         last = hi == len(self.blocks) - 1
         cuts, meet = [], None
-        for m in self.encoder.pieces().finditer(text, at):
-            if not last and m.end() + LOOK_AHEAD > len(text):
+        for end in self._ends(text, at):
+            if not last and end + LOOK_AHEAD > len(text):
                 return False
-            cuts.append(m.end())
-            was = m.end() - grown
+            cuts.append(end)
+            was = end - grown
             if was >= b and (j := int(np.searchsorted(ends, was))) < len(ends) and ends[j] == was:
                 meet = j + 1
                 break
@@ -166,29 +187,92 @@ _NUMBER = re.compile(r"[0-9]{3,}")
 
 
 def mask_numbers(text: str) -> list[Edit]:
-    """The edits of the registered query: every run of three digits or more becomes ``0``, and a closing line is added."""
-    return [*((m.start(), m.end(), "0") for m in _NUMBER.finditer(text)), (len(text), len(text), "\n[end]")]
+    """Every run of three digits or more becomes ``0``, and a closing line is added."""
+    return [*number_edits(text), (len(text), len(text), "\n[end]")]
+
+
+def number_edits(text: str) -> list[Edit]:
+    """The edits of the registered query: every run of three digits or more becomes ``0``."""
+    return [(m.start(), m.end(), "0") for m in _NUMBER.finditer(text)]
+
+
+_TREE = "text string, lengths binary, counts binary, sizes binary, sums binary, n_tokens long, n_pretokens long"
+_STATE = ("text", "lengths", "counts", "sizes", "sums")
 
 
-def counts(docs: DataFrame, edits: Callable[[str], Sequence[Edit]] = mask_numbers, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded (pre-tokens encoded again)."""
+def _rows(head: list[pa.Array], names: list[str], trees: list[TokenTree]) -> pa.RecordBatch:
+    """Trees as rows behind the columns ``head``."""
+    kinds = [pa.string(), *[pa.binary()] * 4]
+    kept = [t.dump() for t in trees]
+    cols = [pa.array([k[i] for k in kept], kind) for i, kind in enumerate(kinds)]
+    cols += [pa.array([t.total for t in trees], pa.int64()), pa.array([sum(len(b.counts) for b in t.blocks) for t in trees], pa.int64())]
+    return pa.RecordBatch.from_arrays([*head, *cols], names=[*names, *_STATE, "n_tokens", "n_pretokens"])
+
+
+def build(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """doc_id, the tree of its text, n_tokens, n_pretokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_bpe(json_path, ranks_path)
+        for batch in batches:
+            yield _rows([batch.column("doc_id")], ["doc_id"], [TokenTree(t.as_py() or "", encoder) for t in batch.column("text")])
+
+    return arrow(docs.select("doc_id", "text"), built, f"doc_id {kind}, {_TREE}")
+
+
+def apply(trees: DataFrame, edits: DataFrame, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """The trees after the edits (doc_id, start, end, replacement; in characters of the text as it is in the tree).
+
+    Adds n_tokens_before, n_pretokens_before, n_edits and n_reencoded (pre-tokens encoded again).
+    """
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    own = edits.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("new"))).alias("edits"))
+    both = trees.join(own.withColumnRenamed("doc_id", "edited_id"), F.col("doc_id") == F.col("edited_id"), "left").drop("edited_id")
+    counted = "n_tokens_before long, n_pretokens_before long, n_edits long, n_reencoded long"
+
+    def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(json_path, ranks_path)
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                tree = TokenTree(text, encoder)
-                before, pre = tree.total, sum(len(b.counts) for b in tree.blocks)
-                changes = edits(text)
-                tree.apply(changes)
-                rows.append((before, pre, len(changes), tree.total, tree.reencoded))
-            cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *_OUT])
+            changed, n = [], []
+            for k, changes in enumerate(batch.column("edits").to_pylist()):
+                tree = TokenTree.load(encoder, batch.column("text")[k].as_py(), *(batch.column(c)[k].as_py() for c in _STATE[1:]))
+                tree.apply([(e["start"], e["end"], e["new"]) for e in changes])
+                changed.append(tree)
+                n.append(len(changes))
+            out = _rows([batch.column("doc_id")], ["doc_id"], changed)
+            more = [batch.column("n_tokens"), batch.column("n_pretokens"), pa.array(n, pa.int64()), pa.array([t.reencoded for t in changed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, *(c.split()[0] for c in counted.split(", "))])
+
+    touched = arrow(both.where("edits is not null"), edited, f"doc_id {kind}, {_TREE}, {counted}")
+    zero = F.lit(0).cast("long")
+    same = both.where("edits is null").drop("edits")
+    same = same.withColumns({"n_tokens_before": F.col("n_tokens"), "n_pretokens_before": F.col("n_pretokens"), "n_edits": zero, "n_reencoded": zero})
+    return touched.unionByName(same)
+
+
+def edits_of(docs: DataFrame, find: Callable[[str], Sequence[Edit]]) -> DataFrame:
+    """The edits table (doc_id, start, end, replacement) that a function finds for each text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *e) for i, t in enumerate(batch.column("text")) for e in find(t.as_py() or "")]
+            which = pa.array([f[0] for f in found], pa.int64())
+            cols = [pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), *cols], names=["doc_id", "start", "end", "replacement"])
+
+    return arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, end long, replacement string")
 
-    return arrow(docs.select("doc_id", "text"), counted, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _OUT))
 
+def counts(docs: DataFrame, edits: Callable[[str], Sequence[Edit]] | DataFrame = mask_numbers, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded: before and after the edits of a table or function.
 
-_OUT = ("n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded")
+    A function's edits need a doc_id to go by, and rows that repeat one must have equal texts.
+    """
+    trees = settle(build(docs, json_path, ranks_path), "trees")
+    if not isinstance(edits, DataFrame):
+        # Every copy of a document finds the same edits.
+        edits = edits_of(docs, edits).distinct()
+    after = apply(trees, edits, json_path, ranks_path)
+    return after.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_pretokens_before").alias("n_pretokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")

@@ -49,10 +49,43 @@ class Encoder:
             return np.array(self._slow().encode(text, add_special_tokens=False).ids, np.uint32)
         return self._fast(not _DOUBLE_SPACE.search(text)).encode_to_numpy(text, disallowed_special=())
 
+    def certain(self, text: str) -> bool:
+        """Whether the libraries' Unicode tables agree on all characters."""
+        return not _UNCOMMON.search(text)
+
+    def _literal(self):
+        """The library's tokenizer, with special-token strings as ordinary text."""
+        if "literal" not in self._made:
+            from tokenizers import Tokenizer
+
+            self._made["literal"] = Tokenizer.from_file(self.json_path)
+            self._made["literal"].encode_special_tokens = True
+        return self._made["literal"]
+
     def encode_plain(self, text: str) -> np.ndarray:
-        """As ``encode``, but special-token strings are ordinary text and tiktoken's tables hold for all of it."""
+        """As ``encode``, but special-token strings are ordinary text."""
+        if not self.certain(text):
+            return np.array(self._literal().encode(text, add_special_tokens=False).ids, np.uint32)
         return self._fast(not _DOUBLE_SPACE.search(text)).encode_to_numpy(text, disallowed_special=())
 
+    def cut(self, text: str) -> np.ndarray:
+        """Characters of each pre-token of a text."""
+        if self.certain(text):
+            return np.fromiter(map(len, self.pieces().findall(text)), np.int64)
+        return np.array([b - a for _, (a, b) in self._literal().pre_tokenizer.pre_tokenize_str(text)], np.int64)
+
+    def count(self, text: str, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token, from one pass over the text."""
+        if not len(lengths):
+            return np.zeros(0, np.int64)
+        if not self.certain(text):
+            return np.bincount(np.array(self._literal().encode(text, add_special_tokens=False).word_ids, np.int64), minlength=len(lengths))
+        ends, token_ends = np.cumsum(lengths), np.cumsum(self.token_bytes()[self.encode_plain(text)])
+        if not text.isascii():
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            ends = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF))[ends - 1]
+        return np.diff(np.searchsorted(token_ends, ends, "right"), prepend=0)
+
     def token_bytes(self) -> np.ndarray:
         """Bytes of each id."""
         if "bytes" not in self._made:

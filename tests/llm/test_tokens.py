@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnlake.llm import packing, token_counts
+from tarnlake.llm import packing, registry, token_counts
+from tarnlake.llm.common import settle
 from tarnlake.llm.tokenizer import byte_bpe
 
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -64,6 +65,61 @@ def test_counts_query(spark, sf):
     assert token_counts.counts(odd.limit(0)).count() == 0
 
 
+LITERAL = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+LITERAL.encode_special_tokens = True
+
+
+def literal(text):
+    """Tokens of a text by the reference library, special-token strings as ordinary text."""
+    return len(LITERAL.encode(text or "", add_special_tokens=False).ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=120) | st.text(alphabet=st.sampled_from(list("ab 1'\n\té東.<|endoftext|>️ा²½\u2028\u00a0")), max_size=80), st.data())
+def test_trees_equal_the_reference_library(text, data):
+    encoder = byte_bpe()
+    tree = token_counts.TokenTree(text, encoder)
+    assert tree.total == literal(text) and encoder.cut(text).sum() == len(text)
+    a = data.draw(st.integers(0, len(text)))
+    b = data.draw(st.integers(a, len(text)))
+    tree = token_counts.TokenTree.load(encoder, *tree.dump())
+    tree.apply([(a, b, data.draw(st.text(max_size=9)))])
+    assert tree.total == literal(tree.text)
+
+
+def test_kept_trees_follow_an_edits_table(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "a null id 123", "clash"), (3, TEXTS[3], "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    trees = settle(token_counts.build(docs), "trees")
+    assert {(r["doc_id"], r["text"]): r["n_tokens"] for r in trees.collect()} == {(i, t or ""): literal(t) for i, t, _ in rows}
+    edits = [(3, 0, 5, "can't"), (3, 7, 7, " 12"), (4, 0, 1, None), (6, 25, 30, "東京 "), (6, 100, 104, "x"), (99, 0, 0, "no document"), (None, 0, 1, "no id"), (0, 0, 0, "new text")]
+    table = spark.createDataFrame(edits, "doc_id long, start long, end long, replacement string")
+    after = token_counts.apply(trees, table).collect()
+    assert len(after) == len(rows)
+    for r in after:
+        own = [(a, b, new or "") for d, a, b, new in edits if d == r["doc_id"] and d is not None]
+        before = next(t or "" for i, t, _ in rows if i == r["doc_id"])
+        assert r["text"] == "".join(_edited(before, own)) and r["n_tokens"] == literal(r["text"]) and r["n_tokens_before"] == literal(before) and r["n_edits"] == len(own)
+        assert r["n_reencoded"] == 0 if not own else 0 < r["n_reencoded"] <= 12 * len(own) or r["doc_id"] == 0
+    # Trees go on from where they are, and only with edits.
+    again = token_counts.apply(spark.createDataFrame(after).select(trees.columns), spark.createDataFrame([(6, 0, 4, "term")], table.schema)).where("n_edits > 0").collect()
+    assert len(again) == 1 and again[0]["n_tokens"] == literal(again[0]["text"]) and again[0]["text"].startswith("term word")
+    assert token_counts.apply(trees, table.limit(0)).agg(F.sum("n_reencoded")).first()[0] == 0
+    assert token_counts.apply(trees.limit(0), table).count() == 0
+    with pytest.raises(Exception, match="overlap"):
+        token_counts.apply(trees, spark.createDataFrame([(3, 0, 5, ""), (3, 2, 6, "")], table.schema)).collect()
+
+
+def test_registered_query_reencodes_little(spark):
+    out = registry.queries()["op3_token_counts"](spark, "/root/testdata/sf0.01").collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert len(out) == len(docs)
+    for r in out:
+        t = docs[r["doc_id"]]
+        assert r["n_tokens"] == literal(t) and r["n_tokens_edited"] == literal("".join(_edited(t, token_counts.number_edits(t)))) and (r["n_edits"] or not r["n_reencoded"])
+    assert sum(r["n_reencoded"] for r in out) < 0.05 * sum(r["n_pretokens"] for r in out)
+
+
 def check_packing(docs, out, capacity=2048):
     want = {}
     for r in docs.collect():
