@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
+import os
 import random
 import sqlite3
 import time
@@ -12,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
-from functools import wraps
+from functools import cache, wraps
 from pathlib import Path
 from typing import Any
 
@@ -152,6 +153,14 @@ class Settings:
             return cls(yaml.safe_load(text))
         return cls(json.loads(text))
 
+    @classmethod
+    def for_environment(cls, folder: str | Path, name: str | None = None, base: str = "base") -> Settings:
+        """The base file of a folder with an environment's file laid over it, read once in a process.
+
+        The environment is ``name``, else $TARNLAKE_ENV, else dev; lists and plain values replace, mappings merge.
+        """
+        return _settings(str(folder), name or os.environ.get("TARNLAKE_ENV") or "dev", base)
+
     def get(self, key: str, default: Any = None) -> Any:
         at: Any = self.values
         for part in key.split("."):
@@ -168,6 +177,22 @@ class Settings:
         return found
 
 
+def merged(low: dict, high: dict) -> dict:
+    """``low`` with ``high`` laid over it, mapping by mapping."""
+    return low | {k: merged(low[k], v) if isinstance(v, dict) and isinstance(low.get(k), dict) else v for k, v in high.items()}
+
+
+@cache
+def _settings(folder: str, name: str, base: str) -> Settings:
+    found = [p for part in (base, name) for p in (Path(folder) / f"{part}{end}" for end in (".json", ".yaml", ".yml")) if p.exists()]
+    if not any(p.stem == name for p in found):
+        raise LakeError(f"no settings for {name} in {folder}")
+    values: dict = {}
+    for p in found:
+        values = merged(values, Settings.load(p).values)
+    return Settings(values)
+
+
 class _Json(logging.Formatter):
     def format(self, record: logging.LogRecord) -> str:
         out = {"time": datetime.fromtimestamp(record.created, timezone.utc).isoformat(), "level": record.levelname, "logger": record.name, "message": record.getMessage()}

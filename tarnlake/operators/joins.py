@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOW = ("inner", "left", "right", "outer", "full", "cross", "semi", "anti")
-#: Rows up to which ``lookup`` broadcasts.
-SMALL = 1_000_000
+#: Bytes up to which ``lookup`` broadcasts.
+SMALL = 32 << 20
 
 
 def join(left: DataFrame, right: DataFrame, on: list[str] | str | None = None, how: str = "inner", null_safe: bool = False) -> DataFrame:
@@ -50,14 +50,20 @@ def enrich(transactions: DataFrame, accounts: DataFrame, customers: DataFrame, h
 def lookup(facts: DataFrame, dimension: DataFrame, key: str, value: str, small: int = SMALL) -> DataFrame:
     """Facts with the dimension's ``value`` for their ``key``, null where there is none.
 
-    The dimension is broadcast only if a count that stops at ``small`` finds no more rows than that.
+    The dimension is broadcast if the optimizer's statistics bound it by ``small`` bytes. Without such a bound
+    the choice is left to adaptive execution, which knows the size once it has read it. No job is run.
     """
     d = dimension.select(key, value)
-    if d.limit(small + 1).count() <= small:
+    if plan_bytes(d) <= small:
         d = F.broadcast(d)
     return facts.join(d, key, "left")
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that the optimized plan's statistics give as the size of a result."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def changed_or_missing(source: DataFrame, target: DataFrame, key: str, tracked: list[str]) -> DataFrame:
     """Source rows without a target row, or whose tracked columns differ from it (null-safe)."""
     t = target.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_t_{c}") for c in tracked])
@@ -72,9 +78,13 @@ def valid_at(facts: DataFrame, versions: DataFrame, key: str, ts: str, how: str
     return facts.join(v, on, how).drop("_k")
 
 
-def above_group_average(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows whose value exceeds their group's average, with ``group_avg``. Groups meet as partial sums, rows are not gathered."""
-    avg = df.groupBy(group).agg(F.avg(value).alias("group_avg"))
+def above_group_average(df: DataFrame, group: str, value: str, exact: str | None = None) -> DataFrame:
+    """Rows whose value exceeds their group's average, with ``group_avg``. Groups meet as partial sums, rows are not gathered.
+
+    ``exact``: a decimal type in which values are summed, so that the order of rows does not matter.
+    """
+    v = F.col(value).cast(exact) if exact else F.col(value)
+    avg = df.groupBy(group).agg((F.sum(v).cast("double") / F.count(v)).alias("group_avg"))
     return df.join(avg, group).where(F.col(value) > F.col("group_avg"))
 
 

@@ -18,11 +18,10 @@ def filter_valid(df: DataFrame, min_amount: float = 0.0, account: str = "account
 
 def select_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """The columns, in this order; KeyError names those that are missing."""
-    columns = list(columns)
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise KeyError(f"missing columns: {missing}")
-    return df.select(*columns)
+    wanted = dict.fromkeys(columns)
+    if absent := wanted.keys() - set(df.columns):
+        raise KeyError(f"missing columns: {sorted(absent)}")
+    return df.select(*wanted)
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

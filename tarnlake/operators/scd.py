@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import surrogate_key
+from .analytics import sample_hash
 from .windows import deduplicate
 
 HIGH_DATE = "9999-12-31 00:00:00"
@@ -132,3 +133,30 @@ def replay(snapshot: DataFrame, events: DataFrame, key: str, sequence: Sequence[
     kept = snapshot.join(last.select(F.col("primary_key").alias(key)), key, "left_anti").select(*snapshot.columns)
     put = last.where("e.operation <> 'DELETE'").select(*[F.col(f"e.after_image.{c}").alias(c) for c in snapshot.columns])
     return kept.unionByName(put)
+
+
+def synthesize_changes(snapshot: DataFrame, key: str, changes: dict[str, Column], n_updates: int, n_deletes: int, inserts: DataFrame | None = None, seed: int = 42, start: str = "2025-01-01 00:00:00") -> DataFrame:
+    """Change events of a snapshot, as ``replay`` reads them: updates, then inserts, then deletes, one minute apart.
+
+    Updated and deleted rows are those with the lowest seeded hashes of their key; ``changes`` gives the new values of
+    updated columns, ``inserts`` the rows that come in. operation, primary_key, before_image, after_image, timestamp.
+    """
+    image = lambda d: F.struct(*[d[c] for c in snapshot.columns])
+    none = F.lit(None).cast(snapshot.select(F.struct(*snapshot.columns)).schema.fields[0].dataType)
+
+    def numbered(d: DataFrame, *order) -> DataFrame:
+        # One task numbers the rows: they are as few as the events asked for.
+        return d.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+
+    order = (sample_hash(key, seed), F.col(key))
+    chosen = numbered(snapshot.where(F.col(key).isNotNull()).orderBy(*order).limit(n_updates + n_deletes), *order)
+    updated, gone = chosen.where(F.col("_i") < n_updates), chosen.where(F.col("_i") >= n_updates)
+    after = F.struct(*[changes[c].cast(snapshot.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in snapshot.columns])
+    events = updated.select(F.lit("UPDATE").alias("operation"), F.col(key).alias("primary_key"), image(updated).alias("before_image"), after.alias("after_image"), "_i")
+    n_inserts = 0
+    if inserts is not None:
+        new = numbered(inserts.select(*snapshot.columns), key)
+        n_inserts = inserts.count()
+        events = events.unionByName(new.select(F.lit("INSERT").alias("operation"), F.col(key).alias("primary_key"), none.alias("before_image"), image(new).alias("after_image"), (F.col("_i") + n_updates).alias("_i")))
+    events = events.unionByName(gone.select(F.lit("DELETE").alias("operation"), F.col(key).alias("primary_key"), image(gone).alias("before_image"), none.alias("after_image"), (F.col("_i") + n_inserts).alias("_i")))
+    return events.select("operation", "primary_key", "before_image", "after_image", (F.lit(start).cast("timestamp") + F.make_dt_interval(mins=F.col("_i"))).alias("timestamp"))

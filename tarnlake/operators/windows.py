@@ -54,36 +54,43 @@ def first_last(df: DataFrame, partition: str, order: str, value: str, ties: Sequ
     return df.withColumns({"first_value": F.first(value, ignore_nulls).over(w), "last_value": F.last(value, ignore_nulls).over(w)})
 
 
-def percentiles(df: DataFrame, value: str, *ties: str, tiles: int = 4, ranges: int = 64) -> DataFrame:
+def percentiles(df: DataFrame, value: str, *ties: str, tiles: int = 4, ranges: int | None = None) -> DataFrame:
     """Add ``pct_rank`` (rank - 1) / (n - 1), ``avg_pct`` (average rank / n) and ``quartile`` over the whole table.
 
-    A window without partitions would sort the table in one task. Instead the values are cut at
-    approximate quantiles into ``ranges``, ranked within each, and shifted by the rows of the ranges
-    before; only one row to each range is ever broadcast. Nulls order last.
+    A window without partitions would sort the table in one task. Instead rows are counted by value first, so
+    that a frequent value is one row; the values are cut at approximate quantiles into ``ranges`` (by default of
+    about 250,000 values, 4096 ranges at most), ranked within each, and shifted by the rows of the ranges before.
+    Only one row to each range is ever broadcast. Which rows of one value fall into which tile is decided by
+    ``ties``, among the rows of the few values that a tile's edge falls into. Nulls order last.
     """
-    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)]).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or ()))
+    counted = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    seen = counted.agg(F.sum("_k").alias("n"), F.count("*").alias("values"), F.percentile_approx("_v", [i / 4096 for i in range(1, 4096)], 10_000).alias("c")).first()
+    n = seen["n"] or 0
+    ranges = ranges or min(4096, max(8, seen["values"] // 250_000))
+    cuts = sorted(set((seen["c"] or ())[:: max(1, 4096 // ranges)]))
     kind = df.schema[value].dataType
-    part = F.when(F.col(value).isNull(), len(cuts) + 1).otherwise(
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind.simpleString()}>"), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    part = F.when(F.col("_v").isNull(), len(cuts) + 1).otherwise(
+        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind.simpleString()}>"), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
     )
-    d = df.withColumn("_part", part)
-    sizes = d.groupBy("_part").agg(F.count("*").alias("_k"))
+    counted = counted.withColumn("_part", part)
+    sizes = counted.groupBy("_part").agg(F.sum("_k").alias("_s"))
     everything = Window.partitionBy().orderBy("_part")  # over at most ``ranges`` + 1 rows
-    sizes = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_k").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_k").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"),
-    )
-    w = Window.partitionBy("_part").orderBy(F.asc_nulls_last(value))
-    strict = Window.partitionBy("_part").orderBy(F.asc_nulls_last(value), *[F.asc_nulls_last(t) for t in ties])
-    d = d.withColumns({"_rank": F.rank().over(w), "_peers": F.count("*").over(Window.partitionBy("_part", value)), "_row": F.row_number().over(strict)})
-    d = d.join(F.broadcast(sizes), "_part").withColumns({"_rank": F.col("_rank") + F.col("_before"), "_row": F.col("_row") + F.col("_before")})
-    small, extra = F.expr(f"_n div {tiles}"), F.expr(f"_n % {tiles}")
-    tile = F.when(F.col("_row") <= extra * (small + 1), F.ceil(F.col("_row") / (small + 1))).otherwise(extra + F.ceil(F.try_divide(F.col("_row") - extra * (small + 1), small)))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_s").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    before = Window.partitionBy("_part").orderBy(F.asc_nulls_last("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_own", F.coalesce(F.sum("_k").over(before), F.lit(0))).join(F.broadcast(sizes), "_part")
+    ranked = ranked.select("_v", "_k", (F.col("_start") + F.col("_own")).alias("_before"))  # rows below the value
+    total = F.lit(n)
+    small, extra = n // tiles, n % tiles
+    edge = extra * (small + 1)
+    tile = lambda row: F.when(row <= edge, F.ceil(row / (small + 1))).otherwise(extra + F.ceil((row - edge) / max(small, 1))).cast("int")
+    ranked = ranked.withColumns({"_first": tile(F.col("_before") + 1), "_last": tile(F.col("_before") + F.col("_k"))})
+    d = df.join(ranked, F.col(value).eqNullSafe(F.col("_v")))
+    whole, cut = d.where("_first = _last").withColumn("_tile", F.col("_first")), d.where("_first <> _last")
+    strict = Window.partitionBy("_v").orderBy(F.asc_nulls_last(value), *[F.asc_nulls_last(t) for t in ties])
+    d = whole.unionByName(cut.withColumn("_tile", tile(F.col("_before") + F.row_number().over(strict))))
     return d.select(
         *df.columns,
-        F.when(F.col("_n") > 1, (F.col("_rank") - 1) / (F.col("_n") - 1)).otherwise(0.0).alias("pct_rank"),
-        ((F.col("_rank") + (F.col("_peers") - 1) / 2) / F.col("_n")).alias("avg_pct"),
-        tile.cast("int").alias("quartile"),
+        (F.col("_before") / (total - 1) if n > 1 else F.lit(0.0)).alias("pct_rank"),
+        ((F.col("_before") + 1 + (F.col("_k") - 1) / 2) / total).alias("avg_pct"),
+        F.col("_tile").alias("quartile"),
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as fx
-from ..operators import aggregate, joins, project, quality, scd, star, windows
+from ..operators import aggregate, analytics, joins, project, quality, scd, star, windows
+from ..sources import catalog
 from ..streaming import fraud
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,9 +288,7 @@ def enrich_two_step(spark, sf):
 def above_segment_average(spark, sf):
     spend = txn(spark, sf).groupBy("account_id").agg(total("amount").alias("spend"))
     s = spend.join(t(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("segment")), "account_id")
-    exact = s.withColumn("exact", F.col("spend").cast(DEC))
-    avg = exact.groupBy("segment").agg((F.sum("exact").cast("double") / F.count("*")).alias("avg_spend"))
-    return exact.join(avg, "segment").where("spend > avg_spend").select("account_id", "segment", "spend")
+    return joins.above_group_average(s, "segment", "spend", exact=DEC).select("account_id", "segment", "spend")
 
 
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, MAX(o_totalprice) OVER (PARTITION BY o_orderpriority) AS top FROM orders) WHERE o_totalprice > 0.9 * top""")
@@ -349,24 +348,22 @@ def top_merchants(spark, sf):
 
 @query(f"WITH {TXN} SELECT CAST(year(transaction_timestamp) AS INTEGER) AS year, CAST(month(transaction_timestamp) AS INTEGER) AS month, CAST(SUM(amount) AS DOUBLE) AS revenue, COUNT(*) AS n FROM txn GROUP BY 1, 2 ORDER BY 1, 2")
 def monthly_revenue(spark, sf):
-    return project.with_date_parts(txn(spark, sf), "transaction_timestamp").groupBy("year", "month").agg(total("amount").alias("revenue"), F.count("*").alias("n")).orderBy("year", "month")
+    return analytics.revenue_by_month(txn(spark, sf))
 
 
 @query(f"WITH {TXN} SELECT currency AS channel, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_value FROM txn GROUP BY 1")
 def avg_by_channel(spark, sf):
-    return txn(spark, sf).groupBy(F.col("currency").alias("channel")).agg(F.count("*").alias("n"), mean("amount").alias("avg_value"))
+    return analytics.average_by(txn(spark, sf).withColumnRenamed("currency", "channel"), "channel")
 
 
 @query(f"WITH {TXN} SELECT currency, CAST(100.0 AS DOUBLE) * CAST(SUM(fraud_flag) AS DOUBLE) / COUNT(*) AS fraud_rate FROM txn GROUP BY 1")
 def fraud_rate(spark, sf):
-    return txn(spark, sf).groupBy("currency").agg((F.lit(100.0) * F.sum("fraud_flag").cast("double") / F.count("*")).alias("fraud_rate"))
+    return analytics.rate_by(txn(spark, sf), "currency", "fraud_flag", "fraud_rate")
 
 
 @query(f"WITH {TXN} SELECT account_id, CAST(SUM(amount) AS DOUBLE) AS total, CAST(SUM(amount) AS DOUBLE) / NULLIF(COUNT(DISTINCT month(transaction_timestamp)), 0) AS per_month, CAST(SUM(amount) AS DOUBLE) / NULLIF(COUNT(DISTINCT strftime(transaction_timestamp, '%Y-%m')), 0) AS per_calendar_month FROM txn GROUP BY 1")
 def lifetime_value(spark, sf):
-    month, calendar = F.month("transaction_timestamp"), F.date_format("transaction_timestamp", "yyyy-MM")
-    d = txn(spark, sf).groupBy("account_id").agg(total("amount").alias("total"), F.countDistinct(month).alias("m"), F.countDistinct(calendar).alias("c"))
-    return d.select("account_id", "total", fx.safe_ratio("total", "m").alias("per_month"), fx.safe_ratio("total", "c").alias("per_calendar_month"))
+    return analytics.lifetime_value(txn(spark, sf))
 
 
 _CUTOFF = "TIMESTAMP '1998-05-01 00:00:00'"
@@ -385,15 +382,13 @@ def high_value_transactions(spark, sf):
 
 @query(f"WITH {TXN} SELECT account_id, CAST(year(transaction_timestamp) AS INTEGER) AS year, CAST(month(transaction_timestamp) AS INTEGER) AS month, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS spend, CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_spend, CAST(SUM(fraud_flag) AS BIGINT) AS frauds FROM txn GROUP BY 1, 2, 3")
 def customer_monthly_spend(spark, sf):
-    d = project.with_date_parts(txn(spark, sf), "transaction_timestamp").groupBy("account_id", "year", "month")
-    return d.agg(F.count("*").alias("n"), total("amount").alias("spend"), mean("amount").alias("avg_spend"), F.sum("fraud_flag").alias("frauds"))
+    return analytics.monthly_spend(txn(spark, sf))
 
 
 @query("SELECT c_mktsegment AS segment, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spend FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def segment_spend(spark, sf):
-    # A partial sum by customer shrinks the side that is joined.
-    o = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast(DEC)).alias("s"))
-    return o.join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.sum("s").cast("double").alias("spend"))
+    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("segment"))
+    return analytics.spend_by_group(txn(spark, sf), c, "account_id", "segment")
 
 
 @query(f"""WITH {DIRTY} SELECT 'account_id' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT(account_id) AS null_count, COUNT(DISTINCT account_id) AS distinct_count, CAST(MIN(account_id) AS DOUBLE) AS min_value, CAST(MAX(account_id) AS DOUBLE) AS max_value FROM dirty
@@ -420,7 +415,7 @@ def distinct_rows(spark, sf):
 
 @query("SELECT event_type AS level, COUNT(*) AS n FROM events WHERE value > 20 GROUP BY 1 ORDER BY n DESC, level")
 def log_counts(spark, sf):
-    return t(spark, sf, "events").where("value > 20").groupBy(F.col("event_type").alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level")
+    return catalog.log_counts(t(spark, sf, "events").withColumnRenamed("event_type", "level"), F.col("value") > 20, "level")
 
 
 def _keys(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import CITIES
 from ..operators.quality import CURRENCIES, STATUSES
+from ..streaming.fraud import RULES
 
 #: Vocabularies.
 SEGMENTS = ("RETAIL", "PREMIUM", "PRIVATE", "BUSINESS")
@@ -14,13 +15,17 @@ ACCOUNT_TYPES = ("CHECKING", "SAVINGS", "CREDIT", "INVESTMENT")
 CHANNELS = ("ONLINE", "ATM", "BRANCH", "MOBILE", "POS")
 TXN_TYPES = ("DEBIT", "CREDIT", "TRANSFER", "PAYMENT", "WITHDRAWAL")
 CATEGORIES = ("GROCERY", "TRAVEL", "FUEL", "DINING", "RETAIL", "HEALTH", "UTILITIES", "ENTERTAINMENT", "EDUCATION", "OTHER")
+ROLES = ("TELLER", "MANAGER", "ANALYST", "ADVISOR", "AUDITOR")
+TERMS = (12, 24, 36, 60, 120, 240, 360)
+LOAN_STATES = ("ACTIVE", "PAID_OFF", "DEFAULTED")
+TABLES = ("branches", "employees", "customers", "accounts", "cards", "merchants", "transactions", "loans", "payments", "fraud_events", "customer_changes")
 START, DAYS = "2024-01-01 00:00:00", 730
 
 
 class Bank:
     def __init__(self, spark: SparkSession, customers: int = 200, accounts: int = 400, merchants: int = 60, transactions: int = 2000, seed: int = 42):
         self.spark, self.seed = spark, seed
-        self.n = {"customers": customers, "accounts": accounts, "merchants": merchants, "transactions": transactions, "cards": accounts // 2, "branches": 10}
+        self.n = {"customers": customers, "accounts": accounts, "merchants": merchants, "transactions": transactions, "cards": accounts // 2, "branches": 10, "employees": 50, "loans": max(customers // 4, 1), "payments": max(customers, 1)}
 
     def _unit(self, *what) -> Column:
         """A number in [0, 1) from the row's id and a label."""
@@ -40,8 +45,8 @@ class Bank:
         return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + self._below(DAYS * 86400, *what))
 
     def table(self, name: str) -> DataFrame:
-        """branches, customers, accounts, cards, merchants or transactions."""
-        d = self.spark.range(self.n[name])
+        """One of ``TABLES``; keys that refer to another table always have a row there."""
+        d = self.spark.range(self.n.get(name, 0))
         key = F.col("id")
         if name == "branches":
             city = self._pick(list(CITIES), "city")
@@ -63,8 +68,39 @@ class Bank:
             status = F.when(share < 0.1, STATUSES[0]).when(share < 0.92, STATUSES[1]).when(share < 0.98, STATUSES[2]).otherwise(STATUSES[3])
             d = d.withColumn("ts", self._time("ts"))
             return d.select(self._key("TXN", key, 10).alias("transaction_id"), self._key("ACC", self._below(self.n["accounts"], "account")).alias("account_id"), self._key("MER", self._below(self.n["merchants"], "merchant")).alias("merchant_id"), self._pick(TXN_TYPES, "type").alias("transaction_type"), amount.alias("amount"), self._pick(CURRENCIES, "currency").alias("currency"), self._pick(CHANNELS, "channel").alias("channel"), status.alias("status"), (self._unit("fraud") < 0.015).cast("int").alias("fraud_flag"), F.col("ts").alias("transaction_timestamp"), F.col("ts").alias("updated_at"))
+        if name == "employees":
+            return d.select(self._key("EMP", key).alias("employee_id"), self._key("BR", self._below(self.n["branches"], "branch")).alias("branch_id"), F.concat(F.lit("Employee "), key.cast("string")).alias("full_name"), self._pick(ROLES, "role").alias("role"), F.round(30000 + 90000 * self._unit("salary"), 2).alias("salary"))
+        if name == "loans":
+            return d.select(self._key("LN", key).alias("loan_id"), self._key("CUST", self._below(self.n["customers"], "borrower")).alias("customer_id"), F.round(1000 + 249000 * self._unit("amount"), 2).alias("principal"), F.round(2 + 10 * self._unit("rate"), 2).alias("interest_rate"), self._pick(TERMS, "term").alias("term_months"), self._pick(LOAN_STATES, "status").alias("status"), self._time("start").alias("start_date"))
+        if name == "payments":
+            return d.select(self._key("PAY", key).alias("payment_id"), self._key("LN", self._below(self.n["loans"], "loan")).alias("loan_id"), F.round(50 + 1950 * self._unit("amount"), 2).alias("amount"), self._time("paid").alias("payment_date"), self._pick(("ON_TIME", "LATE", "MISSED"), "status").alias("status"))
+        if name == "fraud_events":
+            flagged = self.table("transactions").where("fraud_flag = 1")
+            return flagged.select(F.concat(F.lit("FRD"), F.substring("transaction_id", 4, 10)).alias("fraud_event_id"), "transaction_id", F.get(F.array(*[F.lit(r) for r in RULES]), F.pmod(F.xxhash64("transaction_id"), F.lit(len(RULES))).cast("int")).alias("rule"), F.col("transaction_timestamp").alias("detected_at"))
+        if name == "customer_changes":
+            # A later version of every tenth customer: another segment or city.
+            later = self.table("customers").withColumn("id", F.substring("customer_id", 5, 8).cast("long")).where("id % 10 = 0")
+            return later.select("customer_id", "first_name", "last_name", "email", self._pick(list(CITIES), "moved").alias("city"), self._pick(SEGMENTS, "changed").alias("segment"), F.expr("updated_at + interval 30 days").alias("updated_at"))
         raise ValueError(f"unknown table: {name}")
 
+    def faulty_customers(self, ratio: float = 0.03) -> DataFrame:
+        """Customers of which max(2, n * ratio) lack their e-mail address or have a blank name, in turn."""
+        n = self.n["customers"]
+        bad = max(2, int(n * ratio))
+        step = max(n // bad, 1)
+        d = self.table("customers").withColumn("id", F.substring("customer_id", 5, 8).cast("long"))
+        fault = F.when((F.col("id") % step == 0) & (F.col("id") / step < bad), (F.col("id") / step).cast("long") % 2)
+        return d.withColumn("email", F.when(F.coalesce(fault == 0, F.lit(False)), F.lit(None)).otherwise(F.col("email"))).withColumn("first_name", F.when(F.coalesce(fault == 1, F.lit(False)), "").otherwise(F.col("first_name"))).drop("id")
+
+    def write_all(self, folder: str) -> dict[str, int]:
+        """Every table as Parquet below the folder, the faulty customers and transactions in place of the clean ones; rows of each."""
+        out = {}
+        for name in TABLES:
+            d = {"customers": self.faulty_customers, "transactions": self.faulty_transactions}.get(name, lambda name=name: self.table(name))()
+            d.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet")
+            out[name] = d.count()
+        return out
+
     def faulty_transactions(self, ratio: float = 0.03) -> DataFrame:
         """Transactions of which max(6, n * ratio) have one of six faults, in equal shares."""
         n = self.n["transactions"]

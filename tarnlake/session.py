@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,13 @@ def get_spark(app: str = "tarnlake", master: str | None = None, **extra: str) ->
     for k, v in {**SETTINGS, **extra}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder of spark.checkpoint.dir; a temporary one only in local mode."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tarnlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -1,13 +1,18 @@
-"""Writers: zones of the lake, quarantine, versioned tables with an atomic pointer."""
+"""Writers: zones of the lake, quarantine, tables and views, versioned tables with atomic commits."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import LakeError
+from .functions.expressions import check_identifier
+
+_COMMIT = "commit-"
 ZONES = ("raw", "bronze", "silver", "gold", "quarantine")
 
 
@@ -48,11 +53,26 @@ def create_table_as(df: DataFrame, name: str, partition_by: list[str] | None = N
     writer.saveAsTable(name)
 
 
+def create_view(df: DataFrame, name: str) -> None:
+    """A view of the session under a plain name; replaces one of that name."""
+    df.createOrReplaceTempView(check_identifier(name))
+
+
+def land_raw(spark: SparkSession, payloads: list[dict], root: str, dataset: str, day: str) -> str:
+    """Append answers of an API as they came, one JSON document to a line, below the day they were fetched on; the path."""
+    path = f"{zone_path(root, 'raw', dataset)}/ingest_date={day}"
+    rows = [(json.dumps(p, sort_keys=True),) for p in payloads]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").option("compression", "gzip").text(path)
+    return path
+
+
 class VersionedTable:
-    """A dataset in versions ``version-<n>-<id>`` and a pointer file that names the current one.
+    """A dataset in versions ``version-<n>-<id>``, each made current by a file ``commit-<n>`` that names it.
 
-    A reader sees the old or the new version as a whole; rewriting from the table itself is safe, as
-    plain Parquet paths cannot be overwritten while they are read. Works on any Hadoop file system.
+    The highest commit is the current version. A commit is written beside and renamed into its place, where
+    none was before; none is ever deleted or replaced, so at no moment is a table without its version, and a
+    crash leaves the version before. Readers see a version as a whole; rewriting from the table itself is
+    safe, as plain Parquet paths cannot be overwritten while they are read. Works on any Hadoop file system.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -62,37 +82,55 @@ class VersionedTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self) -> list[str]:
+        fs, top = self._at("")
+        return [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+
     def current(self) -> str | None:
-        fs, p = self._at("CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0].strip()
+        """The current version, None before the first; an error where commits were lost."""
+        names = self._names()
+        commits = sorted(n for n in names if n.startswith(_COMMIT))
+        if commits:
+            return self.spark.read.text(f"{self.path}/{commits[-1]}", wholetext=True).first()[0].strip()
+        if any(n.startswith("version-") and not n.startswith("version-1-") for n in names):
+            raise LakeError(f"{self.path} has versions but no commit")
+        return None
 
     def read(self) -> DataFrame | None:
         version = self.current()
         return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
 
     def replace(self, df: DataFrame) -> str:
+        """Write a new version and make it the current one; an error if another writer has got there first."""
         before = self.current()
-        version = f"version-{int(before.split('-')[1]) + 1 if before else 1}-{uuid.uuid4().hex[:8]}"
+        number = int(before.split("-")[1]) + 1 if before else 1
+        version = f"version-{number}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{version}")
-        fs, new = self._at(f"NEXT-{uuid.uuid4().hex[:8]}")
+        self._commit(number, version)
+        return version
+
+    def _commit(self, number: int, version: str) -> None:
+        fs, new = self._at(f"_next-{version}")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
-        _, pointer = self._at("CURRENT")
-        # Rename over the old pointer where the file system can; else remove it just before.
-        if not fs.rename(new, pointer):
-            fs.delete(pointer, False)
-            fs.rename(new, pointer)
-        return version
+        _, commit = self._at(f"{_COMMIT}{number:012d}")
+        if fs.exists(commit) or not fs.rename(new, commit):
+            fs.delete(new, False)
+            raise LakeError(f"{self.path}: version {number} was committed by another writer")
 
     def vacuum(self) -> int:
-        """Remove all versions but the current one; the number removed."""
+        """Remove all versions but the current one, and their commits; the number removed."""
         keep, n = self.current(), 0
-        fs, top = self._at("")
-        for s in fs.listStatus(top):
-            if s.isDirectory() and s.getPath().getName().startswith("version-") and s.getPath().getName() != keep:
-                fs.delete(s.getPath(), True)
+        if keep is None:
+            return 0
+        newest = f"{_COMMIT}{int(keep.split('-')[1]):012d}"
+        for name in self._names():
+            if name.startswith(_COMMIT) and name < newest:
+                fs, p = self._at(name)
+                fs.delete(p, False)
+            elif name.startswith("version-") and name != keep:
+                fs, p = self._at(name)
+                fs.delete(p, True)
                 n += 1
         return n

@@ -1,31 +1,61 @@
-"""File readers, and the ingestor that lands files once, checked and with their origin."""
+"""File readers, and the ingestor that lands files once, checked and with their origin. Paths may be in any Hadoop file system."""
 
 from __future__ import annotations
 
-import shutil
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
+from typing import NamedTuple
 
+from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..control import ControlStore, checksum
+from ..control import ControlStore
 from ..errors import LakeError, NonRetryableError, SchemaError
 from ..operators.project import flatten
 from ..sinks import write_zone
 
-FORMATS = {".csv": "csv", ".json": "json", ".xml": "xml", ".parquet": "parquet", ".pq": "parquet", ".avro": "avro", ".orc": "orc"}
 
+def _at(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-def sniff_format(path: str) -> str:
-    kind = FORMATS.get(Path(path).suffix.lower())
-    if kind is None:
-        raise NonRetryableError(f"unknown file type: {path}")
-    return kind
+
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file as it is."""
+    fs, p = _at(spark, path)
+    out = fs.create(p, True)
+    if data:
+        out.write(bytearray(data))
+    out.close()
+
+
+class Found(NamedTuple):
+    path: str
+    name: str
+    size: int
+    sha256: str
+
+
+def fingerprints(spark: SparkSession, path: str) -> list[Found]:
+    """The files at a path or pattern, by name, with their sha256, computed by the executors; empty files and folders included."""
+    fs, p = _at(spark, path)
+    there = sorted((s for s in fs.globStatus(p) or [] if s.isFile()), key=lambda s: s.getPath().getName())
+    full = [s for s in there if s.getLen()]
+    sums = {}
+    if full:
+        d = spark.read.format("binaryFile").load([s.getPath().toString() for s in full])
+        sums = {_plain(r["path"]): r["sha"] for r in d.select("path", F.sha2("content", 256).alias("sha")).collect()}
+    return [Found(s.getPath().toString(), s.getPath().getName(), s.getLen(), sums.get(_plain(s.getPath().toString()), "")) for s in there]
+
+
+def _plain(path: str) -> str:
+    """A path without the slashes that differ between notations of a local file."""
+    return path.replace("file:///", "file:/")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -54,42 +84,69 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "").option("mode", "FAILFAST").load(path)
 
 
+def _avro(spark: SparkSession, path: str) -> DataFrame:
+    from .avro import read_avro
+
+    return read_avro(spark, path)
+
+
+class Format(NamedTuple):
+    endings: tuple[str, ...]
+    read: Callable[[SparkSession, str], DataFrame]
+
+
+#: What is read by ending; a new format is one more entry.
+FORMATS = {
+    "csv": Format(("csv",), read_csv),
+    "json": Format(("json",), read_json),
+    "xml": Format(("xml",), lambda spark, path: read_xml(spark, path, _row_tag(spark, path))),
+    "parquet": Format(("parquet", "pq"), lambda spark, path: spark.read.parquet(path)),
+    "avro": Format(("avro",), _avro),
+    "orc": Format(("orc",), lambda spark, path: spark.read.orc(path)),
+}
+
+
+def sniff_format(path: str) -> str:
+    """The format whose ending a path has, in any letter case."""
+    ending = path.rstrip("/").rpartition("/")[2].lower().rpartition(".")[2]
+    for kind, f in FORMATS.items():
+        if ending in f.endings:
+            return kind
+    raise NonRetryableError(f"unknown file type: {path}")
+
+
 def read_file(spark: SparkSession, path: str, kind: str | None = None, row_tag: str | None = None) -> DataFrame:
     """Read a file by its format. Missing and empty files are NonRetryableError, malformed ones SchemaError."""
-    p = Path(path)
-    if not p.exists():
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
         raise NonRetryableError(f"no such file: {path}")
-    if p.is_file() and p.stat().st_size == 0:
+    status = fs.getFileStatus(p)
+    if status.isFile() and not status.getLen():
         raise NonRetryableError(f"empty file: {path}")
     kind = kind or sniff_format(path)
+    if kind not in FORMATS:
+        raise NonRetryableError(f"unknown format: {kind}")
     try:
-        if kind == "csv":
-            return read_csv(spark, path)
-        if kind == "json":
-            return read_json(spark, path)
-        if kind == "xml":
-            return read_xml(spark, path, row_tag or _row_tag(path))
-        if kind in ("parquet", "orc"):
-            return spark.read.format(kind).load(path)
-        if kind == "avro":
-            from .avro import read_avro
-
-            return read_avro(spark, path)
+        if kind == "xml" and row_tag:
+            return read_xml(spark, path, row_tag)
+        return FORMATS[kind].read(spark, path)
     except (PySparkException, Py4JJavaError, ValueError) as e:
         raise SchemaError(f"{path}: {e}") from e
-    raise NonRetryableError(f"unknown format: {kind}")
 
 
-def _row_tag(path: str) -> str:
-    """Name of the first child of the root element."""
+def _row_tag(spark: SparkSession, path: str) -> str:
+    """Name of the first child of the root element, from as many lines as it takes."""
     from xml.etree import ElementTree
 
+    parser, depth = ElementTree.XMLPullParser(events=("start", "end")), 0
     try:
-        depth = 0
-        for event, e in ElementTree.iterparse(path, events=("start", "end")):
-            depth += 1 if event == "start" else -1
-            if event == "start" and depth == 2:
-                return e.tag
+        for line in spark.read.text(path).toLocalIterator():
+            parser.feed(line["value"] + "\n")
+            for event, e in parser.read_events():
+                depth += 1 if event == "start" else -1
+                if event == "start" and depth == 2:
+                    return e.tag
+        parser.close()
     except ElementTree.ParseError as e:
         raise ValueError(f"not XML: {e}") from e
     raise ValueError("no rows")
@@ -119,45 +176,50 @@ class FileIngestor:
         self.spark, self.root, self.dataset, self.required, self.store, self.row_tag = spark, root, dataset, required, store, row_tag
 
     def ingest_file(self, path: str) -> FileResult:
-        name, sha = Path(path).name, ""
+        found = fingerprints(self.spark, path)
+        return self._ingest(found[0]) if found else FileResult(path, "QUARANTINED", reason=f"no such file: {path}")
+
+    def _ingest(self, file: Found) -> FileResult:
         try:
-            if not Path(path).exists():
-                raise NonRetryableError(f"no such file: {path}")
-            sha = checksum(path)
-            if self.store.file_done(name, sha):
-                return FileResult(path, "SKIPPED_DUPLICATE")
-            d = read_file(self.spark, path, row_tag=self.row_tag)
+            if not file.size:
+                raise NonRetryableError(f"empty file: {file.path}")
+            if self.store.file_done(file.name, file.sha256):
+                return FileResult(file.path, "SKIPPED_DUPLICATE")
+            d = read_file(self.spark, file.path, row_tag=self.row_tag)
             missing = [c for c in self.required if c not in d.columns]
             if missing:
                 raise SchemaError(f"missing columns: {', '.join(missing)}")
-            rows = d.count()
-            write_zone(d.withColumns({"_source_file": F.lit(name), "_ingested_checksum": F.lit(sha)}), self.root, "bronze", self.dataset, mode="append")
+            # Rows are counted as they are written, not in a pass of their own.
+            seen = Observation(f"rows of {file.name}")
+            d = d.withColumns({"_source_file": F.lit(file.name), "_ingested_checksum": F.lit(file.sha256)}).observe(seen, F.count("*").alias("n"))
+            write_zone(d, self.root, "bronze", self.dataset, mode="append")
         except (LakeError, PySparkException, Py4JJavaError) as e:
-            if sha:
-                self.store.mark_file(name, sha, "QUARANTINED")
-            return FileResult(path, "QUARANTINED", reason=str(e))
-        self.store.mark_file(name, sha, "PROCESSED")
-        return FileResult(path, "PROCESSED", rows)
+            self.store.mark_file(file.name, file.sha256, "QUARANTINED")
+            return FileResult(file.path, "QUARANTINED", reason=str(e))
+        self.store.mark_file(file.name, file.sha256, "PROCESSED")
+        return FileResult(file.path, "PROCESSED", seen.get["n"])
 
     def ingest_dir(self, directory: str, pattern: str = "*") -> Sweep:
-        return Sweep([self.ingest_file(str(p)) for p in sorted(Path(directory).glob(pattern)) if p.is_file()])
+        """Ingest the folder's files by name; the checksums of all of them come from one job."""
+        return Sweep([self._ingest(f) for f in fingerprints(self.spark, f"{directory.rstrip('/')}/{pattern}")])
 
 
 class InboxIngestor:
     """A drop folder (as SFTP leaves it): new files are ingested and copied to an archive; the source stays."""
 
     def __init__(self, inbox: str, archive: str, ingestor: FileIngestor):
-        self.inbox, self.archive, self.ingestor = Path(inbox), Path(archive), ingestor
+        self.inbox, self.archive, self.ingestor = str(inbox).rstrip("/"), str(archive).rstrip("/"), ingestor
 
-    def discover(self, pattern: str = "*.csv") -> list[Path]:
-        return sorted(p for p in self.inbox.glob(pattern) if p.is_file())
+    def discover(self, pattern: str = "*.csv") -> list[str]:
+        return [f.path for f in fingerprints(self.ingestor.spark, f"{self.inbox}/{pattern}")]
 
     def ingest(self, pattern: str = "*.csv") -> Sweep:
-        out = Sweep()
-        for p in self.discover(pattern):
-            r = self.ingestor.ingest_file(str(p))
+        spark = self.ingestor.spark
+        out = self.ingestor.ingest_dir(self.inbox, pattern)
+        for r in out.results:
             if r.status == "PROCESSED":
-                self.archive.mkdir(parents=True, exist_ok=True)
-                shutil.copy2(p, self.archive / p.name)
-            out.results.append(r)
+                fs, p = _at(spark, r.path)
+                to, top = _at(spark, self.archive)
+                to.mkdirs(top)
+                spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, _at(spark, f"{self.archive}/{p.getName()}")[1], False, spark._jsc.hadoopConfiguration())
         return out

@@ -48,7 +48,7 @@ class ApiClient:
         while True:
             p = self.page(number, updated_since)
             yield p
-            if not p["pagination"]["has_next"]:
+            if not p["pagination"].get("has_next"):
                 return
             number += 1
 
@@ -68,9 +68,11 @@ def validated(payload: Any) -> dict:
     return payload
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+class _Pages(InputPartition):
+    """Pages from ``first`` to ``last``; without a last page, as long as the server says that there are more."""
+
+    def __init__(self, first: int, last: int | None):
+        self.first, self.last = first, last
 
 
 class _Reader(DataSourceReader):
@@ -80,14 +82,26 @@ class _Reader(DataSourceReader):
         self.make = lambda: ApiClient(o["url"], o.get("token", ""), float(o.get("timeout", 10)), int(o.get("pagesize", 100)), int(o.get("attempts", 5)), float(o.get("basedelay", 0.5)))
 
     def partitions(self) -> list[InputPartition]:
-        """The first page tells how many there are; the data is fetched by the tasks."""
+        """A task to each page that the first one counts; the last goes on while the server has more.
+
+        Where the server does not count, one task follows ``has_next`` from the first page on.
+        """
         p = self.make().page(1, self.since)["pagination"]
-        total, size = int(p.get("total", 0)), max(int(p.get("page_size", 1)), 1)
-        return [_Page(i + 1) for i in range(max(1, -(-total // size)))]
+        total, size = p.get("total"), p.get("page_size")
+        if total is None or not size:
+            return [_Pages(1, None)]
+        pages = max(1, -(-int(total) // int(size)))
+        return [*(_Pages(i, i) for i in range(1, pages)), _Pages(pages, None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for r in self.make().page(partition.number, self.since)["data"]:
-            yield int(r["id"]), r["base"], r["quote"], float(r["rate"]), r["updated_at"]
+        client, number = self.make(), partition.first
+        while True:
+            p = client.page(number, self.since)
+            for r in p["data"]:
+                yield int(r["id"]), r["base"], r["quote"], float(r["rate"]), r["updated_at"]
+            if number == partition.last or not p["pagination"].get("has_next"):
+                return
+            number += 1
 
 
 class RatesSource(DataSource):

@@ -25,6 +25,26 @@ class Tables:
             return self.spark.table(f"{check_identifier(self.database)}.{name}")
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def read_split(self, name: str, column: str, parts: int = 8) -> DataFrame:
+        """A JDBC table over several connections, each with a range of a numeric or time column; nulls go with the first.
+
+        The bounds come from one query that the source runs itself. Other sources are split by their own files.
+        """
+        if not self.jdbc:
+            return self.read(name)
+        c = check_identifier(column)
+        bounds = self.query(f"SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM {check_identifier(name)}").first()
+        if bounds["lo"] is None or parts < 2:
+            return self.read(name)
+        return self.spark.read.format("jdbc").options(**self.jdbc, dbtable=name, partitionColumn=c, lowerBound=str(bounds["lo"]), upperBound=str(bounds["hi"]), numPartitions=str(parts)).load()
+
+    def read_where(self, name: str, predicates: list[str]) -> DataFrame:
+        """A JDBC table with one connection to each predicate, which must not overlap; other sources take their union as a filter."""
+        if not self.jdbc:
+            return self.read(name).where(" or ".join(f"({p})" for p in predicates))
+        rest = {k: v for k, v in self.jdbc.items() if k != "url"}
+        return self.spark.read.jdbc(self.jdbc["url"], check_identifier(name), predicates=predicates, properties=rest)
+
     def query(self, sql: str) -> DataFrame:
         """A query that the JDBC source runs itself."""
         if not self.jdbc:

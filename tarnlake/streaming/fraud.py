@@ -7,11 +7,11 @@ batch form orders by event time. Both agree when events arrive in order.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,94 +26,135 @@ class FraudConfig:
     window_seconds: int = 60
     max_events: int = 3
     max_speed_kmh: float = 900.0
+    #: Hours of event time without an event after which a customer is forgotten.
+    forget_hours: float = 24.0
 
 
+RULES = ("HIGH_VALUE", "VELOCITY", "IMPOSSIBLE_TRAVEL")
 ALERT = "transaction_id string, customer_id string, rule string, severity string, detail string"
 SCORED = f"{ALERT}, is_late boolean"
 EVENT = "transaction_id string, customer_id string, account_id string, amount double, currency string, merchant string, city string, timestamp timestamp"
 
 
-def distance_km(a: str, b: str) -> float | None:
-    if a not in CITIES or b not in CITIES:
-        return None
-    (p, q, _), (r, s, _) = CITIES[a], CITIES[b]
-    p, q, r, s = map(math.radians, (p, q, r, s))
-    h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
-    return 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(h))
+def _places(cities: np.ndarray) -> np.ndarray:
+    """Latitude and longitude in radians of each city; NaN where it is not known."""
+    return np.radians(np.array([CITIES[c][:2] if c in CITIES else (np.nan, np.nan) for c in cities], float).reshape(-1, 2))
 
 
 @dataclass
 class CustomerState:
-    """What the rules know of one customer."""
+    """What the rules know of one customer: times in the velocity span, and time and city of the newest event."""
 
     recent: list[float]
     place: tuple[float, str] | None = None
     newest: float | None = None
 
     def score(self, e: dict[str, Any], config: FraudConfig) -> tuple[bool, list[tuple[str, str, str]]]:
-        """(late, alerts as (rule, severity, detail)) of an event, in arrival order."""
-        at, out = e["at"], []
-        late = self.newest is not None and at < self.newest
-        self.newest = at if self.newest is None else max(self.newest, at)
-        if e["amount"] is not None and e["amount"] >= config.high_value:
-            out.append(("HIGH_VALUE", "HIGH", f"amount {e['amount']:.0f} >= {config.high_value:.0f}"))
-        self.recent.append(at)
-        while self.recent and self.recent[0] < at - config.window_seconds:
-            self.recent.pop(0)
-        if len(self.recent) > config.max_events:
-            out.append(("VELOCITY", "MEDIUM", f"{len(self.recent)} events in {config.window_seconds}s"))
-        if self.place is not None:
-            hours = abs(at - self.place[0]) / 3600
-            km = distance_km(self.place[1], e["city"])
-            if km is not None and hours > 0 and km / hours > config.max_speed_kmh:
-                out.append(("IMPOSSIBLE_TRAVEL", "HIGH", f"{self.place[1]}->{e['city']} at {km / hours:.0f} km/h"))
-        if self.place is None or at >= self.place[0]:
-            self.place = (at, e["city"])
-        return late, out
+        """(late, alerts as (rule, severity, detail)) of the next event."""
+        late, alerts = self.score_batch(np.array([e["at"]], float), np.array([e["amount"]], float), np.array([e["city"]], object), config)
+        return bool(late[0]), [a[1:] for a in alerts]
+
+    def score_batch(self, t: np.ndarray, amount: np.ndarray, city: np.ndarray, config: FraudConfig) -> tuple[np.ndarray, list[tuple[int, str, str, str]]]:
+        """(late, alerts as (event, rule, severity, detail)) of events in arrival order; no loop over events."""
+        n = len(t)
+        start = -np.inf if self.newest is None else self.newest
+        highest = np.maximum.accumulate(np.concatenate([[start], t]))
+        late = t < highest[:-1]
+        # An arrival drops times from the front of the span's list as long as they are too old for it. The first
+        # time that stays is the first as new as the strictest limit so far, and those limits and the running
+        # maximum of the times both ascend, so one binary search finds all fronts.
+        times = np.concatenate([self.recent, t])
+        most = np.maximum.accumulate(times)
+        front = np.searchsorted(most, most[len(self.recent) :] - config.window_seconds, "left")
+        count = np.arange(len(self.recent) + 1, len(times) + 1) - front
+        # Where the customer was: the last event before this one that was not older than all before it.
+        at = np.concatenate([[self.place[0] if self.place else np.nan], t])
+        where = np.concatenate([np.array([self.place[1] if self.place else None], object), city])
+        newer = np.where(t >= highest[:-1], np.arange(1, n + 1), 0)
+        last = np.maximum.accumulate(np.concatenate([[0], newer]))
+        here, there = _places(city), _places(where[last[:-1]])
+        hours = np.abs(t - at[last[:-1]]) / 3600
+        half = np.sin((here - there) / 2) ** 2
+        km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(half[:, 0] + np.cos(here[:, 0]) * np.cos(there[:, 0]) * half[:, 1]))
+        speed = np.divide(km, hours, out=np.zeros(n), where=hours > 0)
+        alerts = [(i, 0, "HIGH_VALUE", "HIGH", f"amount {amount[i]:.0f} >= {config.high_value:.0f}") for i in np.flatnonzero(amount >= config.high_value).tolist()]
+        alerts += [(i, 1, "VELOCITY", "MEDIUM", f"{count[i]} events in {config.window_seconds}s") for i in np.flatnonzero(count > config.max_events).tolist()]
+        alerts += [(i, 2, "IMPOSSIBLE_TRAVEL", "HIGH", f"{where[last[i]]}->{city[i]} at {speed[i]:.0f} km/h") for i in np.flatnonzero(speed > config.max_speed_kmh).tolist()]
+        if n:
+            self.recent = times[front[-1] :].tolist()
+            self.newest = float(highest[-1])
+            self.place = (float(at[last[-1]]), where[last[-1]])
+        return late, [(i, *a) for i, _, *a in sorted(alerts)]
 
 
 class FraudProcessor(StatefulProcessor):
     """Keeps a ``CustomerState`` to each customer; rows of a batch are taken in the order of ``seq``.
 
-    The velocity list holds only the span's times, so state stays small and is dropped a day after the
-    customer's last event where the stream has event-time timers.
+    With ``timers``, for streams with a watermark, the state of a customer is dropped once the watermark is
+    ``config.forget_hours`` past the newest event; the next event is then scored as the customer's first.
     """
 
-    def __init__(self, config: FraudConfig):
-        self.config = config
+    def __init__(self, config: FraudConfig, timers: bool = False):
+        self.config, self.timers = config, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("customer", "recent array<double>, place_at double, place_city string, newest double")
 
+    def _ends(self, newest: float) -> int:
+        """Milliseconds at which the state may go."""
+        return int((newest + self.config.forget_hours * 3600) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self._ends(self.state.get()[3]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame({c: [] for c in ("transaction_id", "customer_id", "rule", "severity", "detail", "is_late")})
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s = CustomerState([])
         if self.state.exists():
             recent, at, city, newest = self.state.get()
             s = CustomerState(list(recent), None if at is None else (at, city), newest)
-        out = []
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        times = frame["timestamp"].dt.as_unit("us").astype("int64") / 1e6
-        for e, at in zip(frame.to_dict("records"), times, strict=True):
-            late, alerts = s.score({"at": at, "amount": e["amount"], "city": e["city"]}, self.config)
-            out += [(e["transaction_id"], key[0], *a, late) for a in alerts] or ([(e["transaction_id"], key[0], None, None, None, True)] if late else [])
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable", ignore_index=True)
+        times = (frame["timestamp"].dt.as_unit("us").astype("int64") / 1e6).to_numpy()
+        late, alerts = s.score_batch(times, frame["amount"].to_numpy(float), frame["city"].to_numpy(object), self.config)
         self.state.update((s.recent, s.place[0] if s.place else None, s.place[1] if s.place else None, s.newest))
-        yield pd.DataFrame(out, columns=["transaction_id", "customer_id", "rule", "severity", "detail", "is_late"])
+        if self.timers:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(self._ends(s.newest))
+        found = pd.DataFrame(alerts, columns=["event", "rule", "severity", "detail"])
+        quiet = np.setdiff1d(np.flatnonzero(late), found["event"].to_numpy(int))
+        found = pd.concat([found, pd.DataFrame({"event": quiet, "rule": None, "severity": None, "detail": None})]) if len(quiet) else found
+        event = found.pop("event").to_numpy(int)
+        found.insert(0, "transaction_id", frame["transaction_id"].to_numpy()[event])
+        found.insert(1, "customer_id", key[0])
+        found["is_late"] = late[event]
+        yield found
 
     def close(self) -> None:
         pass
 
 
 def drop_duplicates(events: DataFrame, key: str = "transaction_id", within: str | None = "1 hour", ts: str = "timestamp") -> DataFrame:
-    """First arrival of each key. ``within`` bounds the state by a watermark; None keeps every key for ever."""
+    """First arrival of each key.
+
+    ``within`` bounds the state by a watermark: an event older than the newest by more than that is dropped, and
+    so never scored, and a repeat that comes later than that counts as new. None drops nothing and keeps every
+    key for ever.
+    """
     if within is None:
         return events.dropDuplicates([key])
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
 def alerts(events: DataFrame, config: FraudConfig = FraudConfig(), within: str | None = "1 hour") -> DataFrame:
-    """Alerts of a stream of events with an arrival number ``seq``; late events without an alert have a null rule."""
+    """Alerts of a stream of events with an arrival number ``seq``; late events without an alert have a null rule.
+
+    Without ``within`` there is no watermark: no event is dropped, and no state ever is.
+    """
     d = drop_duplicates(events, within=within)
-    return d.groupBy("customer_id").transformWithStateInPandas(FraudProcessor(config), SCORED, "Append", "None")
+    return d.groupBy("customer_id").transformWithStateInPandas(FraudProcessor(config, within is not None), SCORED, "Append", "None" if within is None else "EventTime")
 
 
 def windowed_counts(events: DataFrame, ts: str = "timestamp", size: str = "5 minutes", slide: str | None = None, late: str = "10 minutes", *keys: str) -> DataFrame:
@@ -149,3 +190,16 @@ def late_events(df: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
     """Events older than one of their key that arrived before them."""
     w = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_seen", F.max(ts).over(w)).where(F.col(ts) < F.col("_seen")).drop("_seen")
+
+
+def summary(events: DataFrame, alerts: DataFrame, seen: DataFrame | None = None, key: str = "transaction_id") -> DataFrame:
+    """One row on what was consumed: processed and duplicate events, late ones, alerts, and alerts of each rule.
+
+    ``events`` are all that arrived, ``alerts`` what the rules found of them; ``seen`` are events of earlier runs.
+    """
+    ids = events.select(key)
+    known = ids if seen is None else ids.join(seen.select(key).distinct(), key, "left_anti")
+    read = ids.agg(F.count("*").alias("_all")).crossJoin(known.groupBy(key).agg(F.lit(1).alias("_one")).agg(F.count("*").alias("processed")))  # one row each
+    late = F.count_distinct(F.when(F.col("is_late"), F.col(key)))
+    found = alerts.agg(late.alias("late"), F.count("rule").alias("alerts"), *[F.count_if(F.col("rule") == r).alias(r.lower()) for r in RULES])
+    return read.crossJoin(found).select("processed", (F.col("_all") - F.col("processed")).alias("duplicates"), "late", "alerts", *[r.lower() for r in RULES])

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tarnlake.plans import catalogue
+from tarnlake.plans import catalogue, catalogue_io
 
 SF = "/root/testdata/sf0.01"
 FAMILY = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
@@ -32,12 +32,15 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+QUERIES, SQL = catalogue.queries() | catalogue_io.queries(), catalogue.oracle_sql() | catalogue_io.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
-    duck.execute(catalogue.oracle_sql()[name])
+    duck.execute(SQL[name])
     names = [d[0] for d in duck.description]
     kinds = {d[0]: str(d[1]) for d in duck.description}
     assert sorted(names) == cols

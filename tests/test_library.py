@@ -1,17 +1,21 @@
 """Operators, sources, sinks, control plane and streaming on small hand-made inputs."""
 
 import json
+import math
 import struct
 import threading
 import zlib
 from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnlake.control import ControlStore, Settings, checksum, retry
-from tarnlake.errors import NonRetryableError, QualityError, RetryableError, SchemaError
+from tarnlake.errors import LakeError, NonRetryableError, QualityError, RetryableError, SchemaError
 from tarnlake.functions import expressions as fx
 from tarnlake.operators import aggregate, joins, project, quality, scd, star, windows
 from tarnlake.plans.pipelines import Step, Workflow, batch, incremental, land, stream_alerts
@@ -225,6 +229,42 @@ def test_files(spark, tmp_path):
         files.read_file(spark, str(inbox / "d.txt"))
 
 
+def test_nested_avro(spark, tmp_path):
+    zig = lambda n: bytes([n << 1]) if n >= 0 else bytes([(-n << 1) - 1])
+    text = lambda s: zig(len(s)) + s.encode()
+    point = {"type": "record", "name": "point", "fields": [{"name": "x", "type": "int"}, {"name": "tag", "type": ["null", "string"]}]}
+    fields = [("at", point), ("more", {"type": "array", "items": "point"}), ("counts", {"type": "map", "values": "long"}), ("kind", {"type": "enum", "name": "k", "symbols": ["A", "B"]}), ("raw", {"type": "fixed", "name": "f", "size": 2}), ("day", ["null", {"type": "int", "logicalType": "date"}])]
+    schema = {"type": "record", "name": "r", "fields": [{"name": n, "type": k} for n, k in fields]}
+    one = zig(1) + zig(0)  # a point without a tag
+    row = zig(7) + zig(1) + text("t") + zig(-2) + zig(4) + one + one + zig(0) + zig(1) + text("n") + zig(5) + zig(0) + zig(1) + b"ab" + zig(1) + zig(9)
+    sync = b"s" * 16
+    (tmp_path / "n.avro").write_bytes(b"Obj\x01" + zig(1) + text("avro.schema") + _long_text(json.dumps(schema)) + zig(0) + sync + zig(1) + _long(len(row)) + row + sync)
+    r = files.read_file(spark, str(tmp_path / "n.avro")).first().asDict(recursive=True)
+    assert r == {"at": {"x": 7, "tag": "t"}, "more": [{"x": 1, "tag": None}] * 2, "counts": {"n": 5}, "kind": "B", "raw": b"ab", "day": 9}
+
+
+def _long(n):
+    n, out = n << 1, b""
+    while n >= 0x80:
+        out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+    return out + bytes([n])
+
+
+def _long_text(s):
+    return _long(len(s)) + s.encode()
+
+
+def test_settings_by_environment(tmp_path, monkeypatch):
+    (tmp_path / "base.json").write_text('{"a": {"b": 1, "c": 2}, "l": [1]}')
+    (tmp_path / "prod.json").write_text('{"a": {"b": 9}, "l": []}')
+    s = Settings.for_environment(tmp_path, "prod")
+    assert s.get("a.b") == 9 and s.get("a.c") == 2 and s.get("l") == [] and Settings.for_environment(tmp_path, "prod") is s
+    monkeypatch.setenv("TARNLAKE_ENV", "prod")
+    assert Settings.for_environment(tmp_path).get("a.b") == 9
+    with pytest.raises(LakeError):
+        Settings.for_environment(tmp_path, "nope")
+
+
 class Api(BaseHTTPRequestHandler):
     calls = 0
 
@@ -271,6 +311,108 @@ def test_rest(spark):
     server.shutdown()
 
 
+class Uncounted(Api):
+    """Serves pages that say whether there are more, but not how many."""
+
+    def answer(self, code, body):
+        if "pagination" in body:
+            body["pagination"].pop("total")
+        super().answer(code, body)
+
+
+class Growing(Api):
+    """Counts fewer rows than it serves, as when rows come in meanwhile."""
+
+    def answer(self, code, body):
+        if "pagination" in body:
+            body["pagination"]["total"] -= 25
+        super().answer(code, body)
+
+
+@pytest.mark.parametrize("server, tasks", [(Uncounted, 1), (Growing, 3)])
+def test_rest_loses_no_page(spark, server, tasks):
+    server = HTTPServer(("127.0.0.1", 0), server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(RatesSource)
+    d = spark.read.format("rates").options(url=f"http://127.0.0.1:{server.server_port}", token="good", pageSize="20", baseDelay="0").load()
+    assert sorted(r["id"] for r in d.collect()) == list(range(80)) and d.rdd.getNumPartitions() == tasks
+    server.shutdown()
+
+
+def test_versions_survive_a_crash(spark, tmp_path, monkeypatch):
+    v = VersionedTable(spark, f"{tmp_path}/t")
+    crash = lambda *a: (_ for _ in ()).throw(RuntimeError("crash"))
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_commit", crash)
+        with pytest.raises(RuntimeError):
+            v.replace(spark.range(3))
+    assert v.read() is None
+    first = v.replace(spark.range(3))
+    # Between the writing of a version and its commit readers keep the one before.
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_commit", crash)
+        with pytest.raises(RuntimeError):
+            v.replace(spark.range(9))
+    assert v.current() == first and v.read().count() == 3
+    assert v.replace(v.read().union(v.read())).startswith("version-2-") and v.read().count() == 6
+    # Of two writers of the same version one is told.
+    with pytest.raises(LakeError):
+        v._commit(2, "version-2-other")
+    assert v.read().count() == 6 and v.vacuum() == 3 and v.read().count() == 6
+    for f in (tmp_path / "t").glob("commit-*"):
+        f.unlink()
+    with pytest.raises(LakeError):
+        v.read()
+
+
+def one_at_a_time(events, config):
+    """The rules of fraud.py event by event."""
+    recent, place, newest, out = [], None, None, []
+    for i, (t, amount, city) in enumerate(events):
+        late = newest is not None and t < newest
+        newest = t if newest is None else max(t, newest)
+        rules = ["HIGH_VALUE"] * (amount >= config.high_value)
+        recent.append(t)
+        while recent[0] < t - config.window_seconds:
+            recent.pop(0)
+        rules += ["VELOCITY"] * (len(recent) > config.max_events)
+        if place and place[1] in fraud.CITIES and city in fraud.CITIES and t != place[0]:
+            (a, b, _), (c, d, _) = (fraud.CITIES[x] for x in (place[1], city))
+            a, b, c, d = map(math.radians, (a, b, c, d))
+            km = 2 * fraud.EARTH_RADIUS_KM * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+            rules += ["IMPOSSIBLE_TRAVEL"] * (km / (abs(t - place[0]) / 3600) > config.max_speed_kmh)
+        if place is None or t >= place[0]:
+            place = (t, city)
+        out.append((late, rules))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.sampled_from([1.0, 6000.0]), st.sampled_from([*list(fraud.CITIES)[:3], "Nowhere", None])), max_size=25), st.integers(0, 25))
+def test_fraud_batches_equal_single_events(events, cut):
+    config = fraud.FraudConfig()
+    state, got = fraud.CustomerState([]), []
+    for part in (events[:cut], events[cut:]):
+        late, alerts = state.score_batch(np.array([e[0] for e in part], float), np.array([e[1] for e in part], float), np.array([e[2] for e in part], object), config)
+        got += [(bool(x), [a[1] for a in alerts if a[0] == i]) for i, x in enumerate(late)]
+    assert got == one_at_a_time(events, config)
+
+
+def test_stream_summary(spark):
+    events = spark.createDataFrame([(i,) for i in "aabcdda"], "transaction_id string")
+    found = spark.createDataFrame([("a", "VELOCITY", False), ("b", None, True), ("c", "HIGH_VALUE", True), ("c", "VELOCITY", True)], "transaction_id string, rule string, is_late boolean")
+    assert fraud.summary(events, found).first().asDict() == {"processed": 4, "duplicates": 3, "late": 2, "alerts": 3, "high_value": 1, "velocity": 2, "impossible_travel": 0}
+    assert fraud.summary(events, found, events.where("transaction_id = 'a'")).first()["duplicates"] == 4
+
+
+def test_lookup_broadcasts_by_bytes(spark, tmp_path):
+    spark.range(1000).selectExpr("id as k", "id * 2 as v").write.parquet(f"{tmp_path}/d")
+    d, facts = spark.read.parquet(f"{tmp_path}/d"), spark.range(5000).selectExpr("id as k")
+    hinted = lambda x: "strategy=broadcast" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(joins.lookup(facts, d, "k", "v")) and not hinted(joins.lookup(facts, d, "k", "v", small=100))
+    assert joins.lookup(facts, d, "k", "v").where("v is not null").count() == 1000
+
+
 def test_control(tmp_path):
     s = ControlStore(tmp_path / "c" / "control.db")
     assert s.register("p") == s.register("p", "x")
