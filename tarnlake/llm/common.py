@@ -38,6 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def quoted(name: str) -> str:
+    """A column's name that dots in it don't take apart."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column's name begins with, for the names of helper columns."""
+    p = "_"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -66,15 +79,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _HELD.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; lazy results that read them are lost."""
-    _delete(spark, f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}")
+    delete(spark, f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -105,13 +118,13 @@ def _lean(run, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @functools.cache
 def _libc():
-    """glibc, told to return arrays beyond a megabyte as they are freed; None on other systems."""
+    """glibc, told to keep what it has while a task runs, as it is given back in the end; None on other systems."""
     if not sys.platform.startswith("linux"):
         return None
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 29)  # M_TRIM_THRESHOLD
         libc.malloc_trim
     except (OSError, AttributeError):
         return None

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, settle, slabs
+from .common import arrow, scratch, settle, slabs
 
 BITS = 22
 BUCKETS = 1 << BITS
@@ -41,9 +41,12 @@ FOLDS = 3
 STRENGTHS = (0.5, 2.0)
 #: Score that the threshold found on the folds is mapped to.
 DECISION = 0.7
-#: A bucket is a feature from so many standard deviations of its log ratio, and so many documents, on.
-STANDS_OUT, LEAST = 3.0, 4
-SLAB = 1 << 20
+#: What the share of clean documents above the threshold costs, against that of toxic ones below it.
+FALSE_ALARM = 4.0
+#: A bucket is a feature from so many documents on; see also ``stands_out``.
+LEAST = 4
+#: Bytes of text that are worked on at once: few enough for their arrays to stay in the cache.
+SLAB = 1 << 17
 #: Buckets to a block in which they are counted together.
 _BLOCK = 14
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
@@ -73,13 +76,15 @@ def gram_buckets(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         m = len(c) - n + 1
         if m <= 0:
             return
-        h = h[:m] * _MUL[0]
+        # A polynomial in the characters, whose product with an odd number is well mixed in its upper bits.
+        h = h[:m]
+        h *= _MUL[0]
         h += c[n - 1 :]
-        h += np.uint64(1)
-        h ^= h >> np.uint64(29)
-        h *= _MUL[1]
         if n in GRAMS:
-            yield n, (h >> np.uint64(64 - BITS)).astype(np.uint32)
+            mixed = h ^ (h >> np.uint64(31))
+            mixed *= _MUL[1]
+            mixed >>= np.uint64(64 - BITS)
+            yield n, mixed.view(np.int64)
 
 
 def _present(texts: list[str | None], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +96,7 @@ def _present(texts: list[str | None], useful: np.ndarray | None = None) -> tuple
         row = np.searchsorted(bounds, where, "right") - 1
         inside = row < len(texts)
         inside[inside] = where[inside] + n <= bounds[row[inside] + 1] + 1
-        keys.append(row[inside] << BITS | bucket[where[inside]].astype(np.int64))
+        keys.append(row[inside] << BITS | bucket[where[inside]])
     keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return keys >> BITS, keys & (BUCKETS - 1)
 
@@ -134,6 +139,11 @@ def _descend(which, cols, ratio, y, weight, l2: float, rounds: int) -> tuple[np.
     return w * ratio, float(b)
 
 
+def stands_out(rows: float) -> float:
+    """Standard deviations from which a bucket's log ratio is a feature; more rows bring more buckets, so more by chance."""
+    return 2 + np.log(max(rows, 1)) / 8
+
+
 def log_ratios(counts: np.ndarray, rows: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(naive Bayes log-count ratio, whether it stands out from chance) of each bucket.
 
@@ -141,7 +151,7 @@ def log_ratios(counts: np.ndarray, rows: np.ndarray, alpha: float = 1.0) -> tupl
     """
     neg, pos = counts[:, 0] + alpha, counts[:, 1] + alpha
     ratio = np.log(pos / (rows[1] + 2 * alpha)) - np.log(neg / (rows[0] + 2 * alpha))
-    return ratio, (np.abs(ratio) >= STANDS_OUT * np.sqrt(1 / pos + 1 / neg)) & (counts.sum(1) >= LEAST)
+    return ratio, (np.abs(ratio) >= stands_out(rows.sum()) * np.sqrt(1 / pos + 1 / neg)) & (counts.sum(1) >= LEAST)
 
 
 def _fit(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, useful: np.ndarray, l2: float, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -159,9 +169,9 @@ def _fit(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, useful: np.n
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(value, threshold) with the most of the labelled caught, less twice the share of the others caught with them."""
+    """(value, threshold) with the largest share of the labelled caught, less ``FALSE_ALARM`` times that of the others."""
     order = np.argsort(-z, kind="stable")
-    gain = np.cumsum(y[order]) / y.sum() - 2 * np.cumsum(1 - y[order]) / (1 - y).sum()
+    gain = np.cumsum(y[order]) / y.sum() - FALSE_ALARM * np.cumsum(1 - y[order]) / (1 - y).sum()
     k = int(gain.argmax())
     return float(gain[k]), float((z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2)
 
@@ -172,7 +182,7 @@ def fit(buckets: np.ndarray, counts: np.ndarray, found: list[np.ndarray], y: np.
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
     rows = np.array([[((fold == k) & (y == v)).sum() for v in (0, 1)] for k in range(FOLDS)])
-    best, shift = STRENGTHS[0], 0.0
+    best, shift = STRENGTHS[-1], 0.0
     if rows.min() >= 5:
         z = np.zeros((len(STRENGTHS), len(y)))
         for k in range(FOLDS):
@@ -250,8 +260,7 @@ def _find(buckets: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=None, per_class: int = PER_CLASS) -> Model:
-    """Fit on labelled documents for which ``train_rows`` holds (all by default)."""
+def _train(docs: DataFrame, labels: DataFrame, label: str, train_rows, per_class: int) -> Model:
     few = _labelled(labels, label, F.lit(True) if train_rows is None else train_rows, per_class)
     # At most 2 * per_class rows of an identifier and a number: broadcasting them has a fixed bound.
     d = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
@@ -272,6 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=N
     return fit(buckets, counts, found, got.column("y").to_numpy(), got.column("fold").to_numpy())
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=None, per_class: int = PER_CLASS) -> Model:
+    """Fit on labelled documents for which ``train_rows`` holds (all by default); leaves no intermediate table."""
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, label, train_rows, per_class)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Add ``into``: the score, 0 to 1."""
     keep = [c for c in docs.columns if c != into]

@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import numpy as np
@@ -106,7 +107,7 @@ def test_grams_counts_ratios_and_scores_equal_plain_python(spark, monkeypatch):
     ratio, useful = toxicity.log_ratios(counts.sum(1), np.array([40, 20]))
     for c, r, u in zip(counts.sum(1), ratio, useful, strict=True):
         want = np.log((c[1] + 1) / 22) - np.log((c[0] + 1) / 42)
-        assert np.isclose(r, want) and u == (abs(want) >= 2.5 * np.sqrt(1 / (c[0] + 1) + 1 / (c[1] + 1)) and c.sum() >= 4)
+        assert np.isclose(r, want) and u == (abs(want) >= (2 + np.log(60) / 8) * np.sqrt(1 / (c[0] + 1) + 1 / (c[1] + 1)) and c.sum() >= 4)
     assert sorted(y.tolist()) == sorted(label)
     weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
     for r in toxicity.score(docs, model).collect():
@@ -118,6 +119,7 @@ def test_grams_counts_ratios_and_scores_equal_plain_python(spark, monkeypatch):
 def test_folds_choose_the_threshold():
     z, y = np.array([5.0, 4, 3, 2, 1, 0, -1]), np.array([1, 1, 0, 1, 0, 0, 0])
     assert toxicity._threshold(z, y)[1] == 3.5 and np.isclose(toxicity._threshold(z, y)[0], 2 / 3)
+    assert toxicity._threshold(np.array([1.0, 1, 0]), np.array([1, 1, 0]))[1] == 0.5
 
 
 @pytest.mark.parametrize("module, label", [(quality_model, "quality"), (toxicity, "toxic")])
@@ -130,3 +132,89 @@ def test_any_type_of_id_and_repeated_ids(spark, sf, module, label):
     named = [d.withColumn("doc_id", F.concat(F.lit("n"), "doc_id")) for d in (docs, labels)]
     out = module.score(named[0], module.train(*named)).select("doc_id", "score").collect()
     assert len(out) == docs.count() and out[0]["doc_id"].startswith("n")
+
+
+def _lines(text):
+    """(bytes of each line that has any, as text), in plain Python; one empty line without any."""
+    return [x for x in (text or "").split("\n") if x] or [""]
+
+
+def _features(text):
+    """The features of each line, one at a time."""
+    out, before = [], None
+    for line in _lines(text):
+        raw = line.encode()
+        kinds = {"lower": 0, "upper": 0, "digit": 0, "mark": 0, "symbol": 0, "bar": 0, "shout": 0, "other": 0, "lead": 0}
+        for b in raw:
+            c = chr(b)
+            if b >= 0xC0:
+                kinds["lead"] += 1
+            elif b >= 0x80 or c in " \t\x0b\x0c\r":
+                pass
+            elif "a" <= c <= "z":
+                kinds["lower"] += 1
+            elif "A" <= c <= "Z":
+                kinds["upper"] += 1
+            elif "0" <= c <= "9":
+                kinds["digit"] += 1
+            else:
+                kinds["mark" if c in ".,;:?" else "symbol" if c in "#*$%&<>=~^_{}[]\\@/" else "bar" if c == "|" else "shout" if c == "!" else "other"] += 1
+        chars, words = max(len(line), 1), re.findall(r"[^\x20\x09-\x0D]+", line)
+        many, letters = max(len(words), 1), max(kinds["lower"] + kinds["upper"] + kinds["lead"], 1)
+        repeats = sum(w in words[max(i - 2, 0) : i] for i, w in enumerate(words))
+        out.append([
+            np.log1p(len(raw)) / 8, np.log1p(len(words)) / 6, min(chars / many, 30) / 12, (kinds["symbol"] / chars) ** 0.5, (kinds["bar"] / chars) ** 0.5, kinds["upper"] / letters, (kinds["digit"] / chars) ** 0.5,
+            min(kinds["shout"] / many, 2) ** 0.5, (kinds["mark"] / chars) ** 0.5, (repeats / many) ** 0.5, float(repeats > 0.3 * many), float(line[-1:] in (".", "!", "?") and line != ""), float(line == before and line != ""), kinds["other"] / chars,
+        ])
+        before = line
+    return np.array(out)
+
+
+def test_line_features_and_scores_equal_plain_python(spark):
+    texts = [t for t in ODD if len(t or "") < 400] + ["One fine day. It was!\n\n### || 12 12 12\n### || 12 12 12\nübel über Straße, (x) y?\n\nEND END a", "a b a b\n" * 6]
+    model = quality_model.Model(np.random.default_rng(1).normal(size=3 * quality_model.FEATURES + 3), 0.9, 0.0)
+    got = quality_model.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for r in got:
+        t = (r["text"] or "").encode()
+        row, size, f = quality_model.line_features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        want = _features(r["text"])
+        if t:
+            np.testing.assert_allclose(f, want, atol=1e-5)
+        else:
+            assert not f.any()
+            want = np.zeros_like(want)
+        n = len(want)
+        # Neighbouring lines' features, marks for the ends, and a constant; then all labellings of the lines.
+        none = np.zeros(quality_model.FEATURES)
+        x = np.array([[*want[i], *(want[i - 1] if i else none), *(want[i + 1] if i + 1 < n else none), i > 0, i + 1 < n, 1] for i in range(n)], float)
+        u, good, total = x @ model.weights, np.zeros(n), 0.0
+        for code in range(1 << n):
+            y = np.array([code >> i & 1 for i in range(n)])
+            p = np.exp((u * y).sum() + np.where(y[1:] == y[:-1], model.stay, model.leave).sum())
+            good, total = good + p * y, total + p
+        weight = np.array([max(len(x.encode()), 1) for x in _lines(r["text"])])
+        assert np.isclose(r["score"], (good / total * weight).sum() / weight.sum(), atol=1e-4)
+
+
+def test_training_climbs_the_likelihood():
+    r = np.random.default_rng(2)
+    row, f = np.repeat(np.arange(30), 4), r.normal(size=(120, quality_model.FEATURES))
+    y = np.repeat((np.arange(30) % 2), 4)
+    f[:, 3] += 2 * y
+    model = quality_model.fit(row, f, y, rounds=150)
+
+    def likelihood(w, stay):
+        x, total = quality_model.with_neighbours(row, f).astype(float), 0.0
+        for k in range(30):
+            u = x[row == k] @ w
+            score = lambda z: (u * z).sum() + stay * (z[1:] == z[:-1]).sum()
+            every = [score(np.array([c >> i & 1 for i in range(4)])) for c in range(16)]
+            total += (0.7 if y[4 * k] else 0.3) * (score(y[row == k]) - np.logaddexp.reduce(every)) / 4 / 15
+        return total - 0.5e-4 * (w**2).sum() - 0.0015 * stay**2
+
+    best = likelihood(model.weights, model.stay)
+    assert best > likelihood(np.zeros_like(model.weights), 0.0) + 0.05
+    # Steps along random directions, small enough for the optimiser's own precision to show, gain next to nothing.
+    for _ in range(20):
+        d = r.normal(size=len(model.weights) + 1) * 0.02
+        assert likelihood(model.weights + d[:-1], model.stay + d[-1]) < best + 2e-3
