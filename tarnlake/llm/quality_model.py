@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, settle, slabs, span_hashes, word_bounds
+from .common import arrow, scratch, settle, slabs, span_hashes, word_bounds
 
 PER_CLASS = 1500
 #: Lines of each label from which no further document is taken: 1500 documents of 256 lines.
@@ -185,8 +185,7 @@ def fit(row: np.ndarray, f: np.ndarray, y: np.ndarray, rounds: int = 250, l2: fl
     return Model(p[:-1], float(p[-1]), 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows=None, per_class: int = PER_CLASS) -> Model:
-    """Fit on labelled documents for which ``train_rows`` holds (all by default)."""
+def _train(docs: DataFrame, labels: DataFrame, label: str, train_rows, per_class: int) -> Model:
     ok = labels.where((F.lit(True) if train_rows is None else train_rows) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     ok = ok.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     few = [ok.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
@@ -219,6 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     return fit(np.repeat(np.arange(len(lines)), lines), x, np.repeat(got.column("y").to_numpy(), lines))
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows=None, per_class: int = PER_CLASS) -> Model:
+    """Fit on labelled documents for which ``train_rows`` holds (all by default); leaves no intermediate table."""
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, label, train_rows, per_class)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Add ``into``: the score, 0 to 1."""
     keep = [c for c in docs.columns if c != into]

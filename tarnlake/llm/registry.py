@@ -29,7 +29,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     d = d.select("doc_id", "spans", pii.span_digest(kinds=pii.BASE).alias("_base"))
     counts = [F.expr(f"bigint(size(filter(spans, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in pii.BASE]
-    return d.select("doc_id", *counts, F.sha2("_base", 256).alias("base_sha256"), pii.span_digest().alias("spans"))
+    return d.select("doc_id", *counts, F.sha2("_base", 256).alias("base_sha256"), pii.span_digest().alias("spans"), pii.span_scores().alias("scores"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4, "op6_jaccard_join": _OP6, "op7_decontamination": _OP7, "op10_quality_rules": _OP10}
+    return {"op2_pii": _op2(), "op4_substring_dedup": _OP4, "op6_jaccard_join": _OP6, "op7_decontamination": _OP7, "op10_quality_rules": _OP10}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -88,6 +88,45 @@ c AS (SELECT doc_id, SUM(z - a) AS removed, COUNT(*) AS spans, MAX(z) AS tail, s
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
  sha256(CASE WHEN spans IS NULL THEN b ELSE unhex(head || CASE WHEN tail <= n THEN hex(array_slice(b, tail, n)) ELSE '' END) END) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
 """
+#: kind: (pattern without look-around, what confirms a match v, what makes it likelier, score, its bonus, words for and against, and their weights).
+_PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE", r"regexp_matches(v, '^[A-Za-z0-9].*\.[A-Za-z]{2,24}$') AND NOT contains(v, '..')", 60, 30,
+     "e-?mail|mailto|contact|write|cc|from|to", 10, "noreply|no-reply|example|placeholder", 20),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0",
+     r"NOT regexp_matches(v, '^0*(?:0|10|127|2(?:2[4-9]|[34][0-9]|5[0-5]))\.|^0*192\.0*168\.|^0*172\.0*(?:1[6-9]|2[0-9]|3[01])\.|^0*169\.0*254\.')", 40, 20,
+     "ip|host|server|address|addr|client|login|from", 30, "v|ver|version|release|chapter|section|build", 30),
+    ("card", r"[0-9](?:[ -]?[0-9])+", "length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(reverse(digits)[i + 1] AS INTEGER) ELSE 2 * CAST(reverse(digits)[i + 1] AS INTEGER) - CASE WHEN reverse(digits)[i + 1] > '4' THEN 9 ELSE 0 END END)) % 10 = 0",
+     "regexp_matches(v, '^(?:4|5[ -]?[1-5]|2[ -]?[2-7]|3[ -]?[47]|6[ -]?(?:0|4|5))')", 40, 20,
+     "card|visa|mastercard|amex|credit|debit|pan|payment|cvv|cvc", 30, "isbn|order|invoice|tracking|serial|ticket|reference|ref", 20),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(digits) BETWEEN 10 AND 15", r"regexp_matches(v, '^\+[1-9]') AND NOT regexp_matches(v, '[ ().-]{4}')", 50, 20,
+     "phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms", 20, "sum|total|add|equals|score", 20),
+    ("iban", r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "NOT regexp_matches(behind, '^[A-Za-z0-9]') AND length(replace(v, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(v, 1, 4), ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))), lambda a, y: (a * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1",
+     "FALSE", 55, 0, "iban|account|konto|compte|cuenta|bank|bic|swift|transfer", 40, "serial|tracking|model|part|sku|licen[cs]e|example", 20),
+    ("national_id", "[0-9-]+", "regexp_full_match(v, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND substr(v, 1, 3) NOT IN ('000', '666') AND v[1] <> '9' AND substr(v, 5, 2) <> '00' AND substr(v, 8) <> '0000'",
+     "FALSE", 30, 0, "ssn|social|security|national|id|tax", 30, "phone|part|order|serial", 20),
+    ("secret", r'(?:^|[^A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:password|passwd|token|secret|api_?key) ?[=:] ?"?[A-Za-z0-9_+/.-]{12,})', "NOT (starts_with(v, 'AKIA') AND regexp_matches(behind, '^[A-Za-z0-9]'))",
+     "starts_with(v, 'AKIA') OR regexp_matches(v, '[=:].*[0-9]')", 60, 20, "key|login|auth|credential|credentials|bearer|aws", 20, "example|dummy|placeholder|sample|fake", 40),
+]
+
+
+def _op2() -> str:
+    base = "('email', 'ip', 'card', 'phone')"
+    word = lambda w: f"regexp_matches(near, '(?:^|[^a-z])(?:{w})(?:[^a-z]|$)')"
+    raw = " UNION ALL ".join(f"SELECT doc_id, {k} AS rank, '{n}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for k, (n, p, *_) in enumerate(_PII))
+    valid = " ".join(f"WHEN '{x[0]}' THEN {x[2]}" for x in _PII)
+    score = " ".join(f"WHEN '{n}' THEN {c} + CASE WHEN {more} THEN {b} ELSE 0 END + CASE WHEN {word(w)} THEN {up} ELSE 0 END - CASE WHEN {word(a)} THEN {down} ELSE 0 END" for n, _, _, more, c, b, w, up, a, down in _PII)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), raw AS ({raw}),
+u AS (SELECT doc_id, rank, kind, unnest(m) AS w, unnest(g[1 : len(m)]) AS gap, unnest(range(len(m))) AS i FROM raw WHERE len(m) > 0),
+p AS (SELECT *, CASE WHEN kind IN ('iban', 'secret') THEN regexp_replace(w, '^[^A-Za-z0-9]', '') ELSE w END AS v, CAST(SUM(length(gap) + length(w)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS INTEGER) AS z FROM u),
+s AS (SELECT doc_id, rank, kind, v, z - length(v) AS a, z, regexp_replace(v, '[^0-9]', '', 'g') AS digits, substr(t, z + 1, 48) AS behind, lower(substr(t, greatest(z - length(v) - 48, 0) + 1, least(z - length(v), 48)) || '|' || substr(t, z + 1, 48)) AS near FROM p JOIN d USING (doc_id)),
+c AS (SELECT *, least(100, greatest(0, CASE kind {score} END)) AS score FROM s WHERE CASE kind {valid} END),
+k AS (SELECT *, kind || ':' || a || ':' || z AS span FROM c WHERE kind IN {base} OR score >= 50)
+SELECT d.doc_id, {', '.join(f"COUNT(*) FILTER (kind = '{x}') AS n_{x}" for x in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (kind IN {base}), '')) AS base_sha256,
+ coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans, coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY a, rank), '') AS scores FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 _OP7 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM benchmark),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tarnlake.llm.common import settle, table
+from tarnlake.llm.common import clean, settle, shared_dir, table
 from tests.llm import oracles
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_jaccard import brute as groups
@@ -80,3 +80,19 @@ def test_extra_columns_pass_through(spark):
         assert docs.columns == [*COLUMNS, *clash]
     assert docs.where("score <> 'score' or spans <> 'spans' or token <> 'token'").count() == 0 and docs.count() > 50
     assert stage is cp.mask_personal_data and cp.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_helper_names_leave_columns_alone(spark):
+    names = ["_t", "_k", "_key", "_rows", "_n", "_toxicity", "_m0", "_w", "_pii_spans", "__key"]
+    docs = table(spark, SF, "documents").withColumns({c: F.lit(c) for c in names})
+    for name, stage in cp.STAGES[:-1]:
+        docs = settle(stage(spark, docs, SF), name)
+        assert docs.columns == [*COLUMNS, *names]
+    assert docs.count() > 50 and docs.where(" or ".join(f"{c} is null or {c} <> '{c}'" for c in names)).count() == 0
+
+
+def test_run_leaves_only_its_result(spark):
+    clean(spark)
+    out = cp.run(spark, SF)
+    top = f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}"
+    assert len(os.listdir(top)) == 1 and out.count() > 0
