@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import decontamination, jaccard_join, packing, pii, toxicity
-from tarnlake.llm.common import bucket_of, scratch, settle, shared_dir, table
+from tarnlake.llm.common import bucket_of, delete, free_prefix, quoted, scratch, settle, shared_dir, table
 
 #: Toxicity score from which a document is rejected.
 REJECT = 0.7
@@ -24,34 +24,38 @@ NEAR = (5, 80)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on its training fold of the labels, does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train_rows=bucket_of("doc_id", 3) != 1)
-    return toxicity.score(docs, model, into="_toxicity").where(F.col("_toxicity") < REJECT).select(*docs.columns)
+    score = free_prefix(docs) + "toxicity"
+    return toxicity.score(docs, model, into=score).where(F.col(score) < REJECT).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one with the smallest doc_id, null last. Different texts of one doc_id are rows of
     their own; rows without words are only linked with their exact copies, those without an id either all stay."""
+    p = free_prefix(docs)
+    own, rows, n = f"{p}key", f"{p}rows", f"{p}n"
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
-    keyed = docs.withColumn("_key", key)
-    found = jaccard_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"), *NEAR)
-    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"))
+    keyed = docs.withColumn(own, key)
+    found = jaccard_join.join_components(keyed.select(F.col(own).alias("doc_id"), "text"), *NEAR)
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows), F.max("n_shingles").alias(n))
     # The keys grow with the corpus, so they are never broadcast, whatever their size happens to be.
-    kept = keyed.join(settle(first, "kept").hint("merge"), "_key")
-    every = (F.col("_rows") == 1) | ((F.col("_n") == 0) & F.col("_key.none"))
+    kept = settle(keyed.join(settle(first, "kept").hint("merge"), own), "kept")
+    every = (F.col(rows) == 1) | ((F.col(n) == 0) & F.col(f"{own}.none"))
     # Rows that repeat a key are exact copies; there are few, so only they are grouped.
-    repeated = kept.where(~every).dropDuplicates(["_key"])
-    return kept.where(every).unionByName(repeated).select(*docs.columns)
+    repeated = kept.where(~every).dropDuplicates([own])
+    return kept.where(every).unionByName(repeated).select(*map(quoted, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window that is similar to a benchmark item."""
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    found = decontamination.contaminated(keyed.select(F.col("_k").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return keyed.join(found.select(F.col("doc_id").alias("_k")).distinct(), "_k", "left_anti").select(*docs.columns)
+    own = free_prefix(docs) + "key"
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    found = decontamination.contaminated(keyed.select(F.col(own).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias(own)).distinct(), own, "left_anti").select(*map(quoted, docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; spans of personal data give way to their kind, n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(quoted, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,12 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; the intermediate tables of the other stages are deleted as they end."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """The rows of the last stage. Each stage's intermediate tables go as it ends, its result as the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         path = f"{shared_dir(spark)}/tarnlake-{spark.sparkContext.applicationId}/stage-{name}-{uuid.uuid4().hex}"
         with scratch(spark):
             out = stage(spark, docs, sf_dir)
             out.write.option("compression", "zstd").parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            delete(spark, before)
+        before = path
+    return docs
