@@ -149,6 +149,19 @@ def ingest_inbox(spark, sf):
     return spark.read.parquet(f"{root}/bronze/regions").select("r_regionkey", "r_name").join(there, "r_regionkey")
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def ingest_on_arrival(spark, sf):
+    """Files that come into a folder start their own ingestion, once each; an empty one starts nothing."""
+    root, seen = work_dir(spark, "arrival"), []
+    ingestor = files.FileIngestor(spark, root, "nations", ["n_nationkey"], ControlStore())
+    for k in range(2):
+        _one_file(t(spark, sf, "nation").where(F.col("n_nationkey") % 2 == k).select("n_nationkey", "n_name"), f"{root}/in", f"part{k}.csv")
+        files.put_file(spark, f"{root}/in/empty{k}.csv", b"")
+        files.watch(spark, f"{root}/in", f"{root}/checkpoint", lambda path: seen.append(ingestor.ingest_file(path).status)).awaitTermination()
+    assert seen == ["PROCESSED"] * 2, seen
+    return spark.read.parquet(f"{root}/bronze/nations").select("n_nationkey", "n_name")
+
+
 _RATES = "SELECT id, quote, rate FROM (SELECT CAST(i AS INTEGER) AS id, ['EUR', 'GBP', 'JPY', 'AUD', 'CAD', 'CHF', 'INR', 'SGD'][1 + i % 8] AS quote, CAST(round(0.5 + i / 100, 4) AS DOUBLE) AS rate FROM range(80) AS r(i))"
 
 

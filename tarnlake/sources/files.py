@@ -13,6 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..control import ControlStore
 from ..errors import LakeError, NonRetryableError, SchemaError
@@ -223,3 +224,17 @@ class InboxIngestor:
                 to.mkdirs(top)
                 spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, _at(spark, f"{self.archive}/{p.getName()}")[1], False, spark._jsc.hadoopConfiguration())
         return out
+
+
+def watch(spark: SparkSession, folder: str, checkpoint: str, on_file: Callable[[str], object], trigger: dict | None = None) -> StreamingQuery:
+    """Call ``on_file`` with the path of each file that comes into a folder, once; empty files never trigger.
+
+    A stream over the folder remembers in its checkpoint what it has seen; by default it takes all that is there and ends.
+    """
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "modificationTime")
+
+    def react(batch: DataFrame, _: int) -> None:
+        for r in batch.orderBy("modificationTime", "path").select("path").toLocalIterator():
+            on_file(r["path"])
+
+    return found.writeStream.foreachBatch(react).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
