@@ -69,6 +69,7 @@ def line_features(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     n, size = len(row), end - start
     f = np.zeros((n, FEATURES), np.float32)
     if not len(raw):
+        f[:, 2] = 1 / 12  # as for an empty line beside others
         return row, size, f
     line_at = np.repeat(np.arange(n), size)
     inside = _CLASS[raw] if size.sum() == len(raw) else _CLASS[raw[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]]

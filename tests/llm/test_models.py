@@ -173,16 +173,16 @@ def _features(text):
 def test_line_features_and_scores_equal_plain_python(spark):
     texts = [t for t in ODD if len(t or "") < 400] + ["One fine day. It was!\n\n### || 12 12 12\n### || 12 12 12\nübel über Straße, (x) y?\n\nEND END a", "a b a b\n" * 6]
     model = quality_model.Model(np.random.default_rng(1).normal(size=3 * quality_model.FEATURES + 3), 0.9, 0.0)
-    got = quality_model.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = quality_model.score(docs, model).collect()
+    # A score does not depend on the rows beside it.
+    for parts in (1, len(texts)):
+        assert {r["doc_id"]: r["score"] for r in quality_model.score(docs.repartition(parts, "doc_id"), model).collect()} == {r["doc_id"]: r["score"] for r in got}
     for r in got:
         t = (r["text"] or "").encode()
         row, size, f = quality_model.line_features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         want = _features(r["text"])
-        if t:
-            np.testing.assert_allclose(f, want, atol=1e-5)
-        else:
-            assert not f.any()
-            want = np.zeros_like(want)
+        np.testing.assert_allclose(f, want, atol=1e-5)
         n = len(want)
         # Neighbouring lines' features, marks for the ends, and a constant; then all labellings of the lines.
         none = np.zeros(quality_model.FEATURES)
