@@ -38,7 +38,7 @@ OPAQUE_TAGS = frozenset("script style noscript template svg math iframe object h
 #: Elements whose content is not parsed.
 RAW_TAGS = frozenset("script style textarea title iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CHROME_TAGS = frozenset("nav footer aside form menu dialog header fieldset".split())
+CHROME_TAGS = frozenset("nav footer aside form menu dialog header fieldset address".split())
 #: An opening tag of the key ends an open element of these names, if that is the innermost one.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 #: Elements that lay out a page, as against those that structure its text.
@@ -87,13 +87,22 @@ LABELLED_PAGES = [
     "<article><div><h1>G2</h1><h2>G8</h2></div><div><p>G9<p>G33<p>G60</div></article>",
     "<h1>R1</h1><article><h2>G6</h2><p>G60<p>G9<p>G33</article><h2>R2</h2><p>R30",
     "<div><h1>R4</h1><h2>R7</h2></div><article><p>G40<p>G70</article><div><h2>R3</h2><p>R12</div>",
+    "<div>R9</div><div><a>R1</a></div><article><p>G100<p>G60</article><div><h2>R2</h2><p>R90</div><div><h3>R1</h3><p>R30</div>",
     "<main><h1>R2</h1><article><p>G12<p>G8</article><h2>R3</h2><article class=teaser><h2>R5</h2><p>R16</article></main>",
     # Lists of links in and below articles.
     "<article><h1>G6</h1><p>G80<p>G30<ul><li><a>R5</a><li><a>R7</a><li><a>R4</a></ul></article><footer>R5</footer>",
     "<article><p>G50<p>G66<h4>R2</h4><ul><li><a>R6</a><li><a>R6</a><li><a>R9</a><li><a>R8</a></ul></article>",
     "<main><ul><li><a>R1</a><li><a>R2</a><li><a>R1</a></ul><h1>G7</h1><p>G42<p>G58<p><a>R4</a><p><a>R5</a></main>",
     "<article><p><a>R2</a> <a>R3</a> R1<h1>G9</h1><p>G100<p>G5<p>G64<p><a>R3</a> <a>R2</a></article>",
+    # Paragraphs that are one link, at the start and the end of the text.
+    "<article><h1>G3</h1><p><a>G12</a><p>G40<p>G22</article><ul><li><a>R5</a><li><a>R6</a></ul>",
+    "<article><h2>G6</h2><p><a>G20</a><p>G18<p>G52<p><a>G14</a></article>",
+    "<main><h1>G2</h1><p><a>G9</a><p>G30<p><a>G11</a><p>G44</main><div><a>R2</a> <a>R3</a></div>",
     # Furniture inside articles.
+    "<article><h1>G6</h1><p class=byline>R4<div class=social><a>R1</a></div><p>G40<p>G35<div class='author-box related'>R25</div></article>",
+    "<article><div class=share><a>R2</a></div><h1>G5</h1><p>G60<div class=promo><a>R6</a></div><p>G33<p>G48<div class=tags><a>R1</a> <a>R1</a></div></article>",
+    "<main><h1>G4</h1><p>G51<div class=ad-slot><a>R9</a></div><p>G20<div class=newsletter>R3 <a>R4</a></div><p>G39</main>",
+    "<div class=content><h1>G7</h1><div class=share><a>R1</a> <a>R2</a></div><p>G44<p>G29<div class=ads><a>R12</a></div><p>G60</div><div class=related><a>R6</a></div>",
     "<article><h1>G6</h1><p>G44<div class=ad>R12</div><p>G52<aside>R20</aside><p>G31<div class=share><a>R1</a> <a>R1</a></div><form>R6</form></article>",
     "<article><h1>G8</h1><div class=entry><p>G64<p>G12<p>G33<p>G80</div><section id=comments><h3>R2</h3><p>R30<p>R55<p>R12</section></article>",
     "<div class='layout sidebar-left'><article><h1>G5</h1><p>G30<p>G2<p>G77</article><div class=sidebar><p>R40<p>R6</div></div>",
@@ -107,7 +116,9 @@ LABELLED_PAGES = [
     "<div>R4</div><ul><li><a>R2</a><li><a>R1</a></ul><div><h2>G5</h2><p>G48<p>G2<p>G66<p><a>G8</a><p>G40</div><div><p>R30<p>R14</div><div>R9</div>",
     "<div><h1>G2</h1></div><div><p>G40<p>G12<p>G50</div><div><h2>R1</h2><p>R30<p>R9</div>",
     "<div><h1>G4</h1></div><div><p>G12<p>G20</div><div><h4>R3</h4><p>R8</div>",
-    "<div><a>R2</a></div><div><h2>G6</h2></div><div><p>G60<p>G44</div><div><h2>R2</h2><a>R4</a><a>R5</a></div>",
+    "<div><a>R1</a></div><div><p>G90<p>G60<p>G22</div><div>R30</div><div>R8</div>",
+    "<table><tr><td><a>R2</a></td></tr><tr><td><p>G110<p>G30<p>G12</td><td><h3>R2</h3><p>R26</td></tr></table>",
+    "<div>R14</div><div>R3 <a>R1</a></div><div><p>G70<p>G95</div><div><h2>R3</h2><p>R20</div>",
     "<div>R3 <a>R2</a></div><div><p>G20 <a>G9</a><p>G33<p><a>G4</a> G5<p>G41<p><a>G7</a><p>G15</div><div><h3>R2</h3><ul><li><a>R4</a><li><a>R5</a></ul></div>",
     "<table><tr><td><a>R2</a><p><a>R1</a><p><a>R3</a></td><td><h2>G5</h2><p>G70<p>G45<p>G8<p>G50</td><td>R15 <a>R3</a></td></tr></table><center>R8</center>",
     "<div><h1>G7</h1></div><div><p>G55<p>G62<p>G18</div><div><h3>R2</h3><p>R22</div>",
@@ -205,7 +216,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 def _element(tag: str, attributes: str, parent: int, outer: Element) -> Element:
     chrome, level = 0, 0
     if tag in CHROME_TAGS and not (tag == "header" and outer.marked > 1):
-        chrome = 2 if tag in ("form", "fieldset") else 3
+        chrome = 2 if tag in ("form", "fieldset", "address") else 3
     own = tag in ("article", "main")
     if own:
         level = 3 if tag == "article" else 2

@@ -80,6 +80,24 @@ HELD_OUT = [
     "<main><div class=hero><h1>G8</h1></div><div class=body-text><p>G66<p>G4<p>G59</div><div class='promo wide'>R30</div></main>",
     "<p>G58<p>G33<p>G70<div>R13</div>",
     "<article><p>G48<p>G62</p><div>R8</div></article>",
+    "<body class='single-post'><header id='masthead' class='site-header'><h1 class='site-title'>R2</h1><nav><a>R1</a><a>R1</a></nav></header><div id='content' class='site-content'><div id='primary' class='content-area'><main id='main' class='site-main'><article id='post-1' class='post type-post category-news tag-politics'><header class='entry-header'><h1 class='entry-title'>G7</h1></header><div class='entry-content'><p>G60</p><p>G8</p><blockquote>G20</blockquote><ul><li>G5</li><li>G9</li></ul><p>G44</p></div></article><nav class='post-navigation'><a>R4</a></nav><div id='comments' class='comments-area'><h2>R2</h2><ol class='comment-list'><li class='comment'><article class='comment-body'><p>R30</p></article></li><li class='comment'><article class='comment-body'><p>R70</p></article></li></ol><form>R3</form></div></main></div><aside id='secondary' class='widget-area'><section class='widget'><h2>R2</h2><ul><li><a>R5</a></li></ul></section></aside></div><footer id='colophon'>R9</footer></body>",
+    "<div id='root'><div><nav><a>R1</a></nav></div><article><div><section><h1>G9</h1><p>G33</p></section><section><p>G50</p><p>G40</p></section><section><h2>G3</h2><p>G61</p></section></div></article><div>R12</div></div>",
+    "<article><h1>G5</h1><p>G40</p><figure><img><figcaption>G8</figcaption></figure><p>G35</p><table><tr><th>G1</th><th>G1</th></tr><tr><td>G1</td><td>G2</td></tr></table><p>G44</p></article><footer>R5</footer>",
+    "<div class='wrapper'><div class='header'>R4</div><div class='main-content'><div class='title'>G6</div><div>G40</div><div>G5</div><div>G55</div></div><div class='footer'>R9</div></div>",
+    "<center><a>R1</a> | <a>R2</a></center><h1>G4</h1><p>G30<p>G45<p>G60<hr><address>R6</address>",
+    "<article><h1>G5</h1><p>G25</p><p>G30</p></article><section class='comments'><p>R90</p><p>R80</p><p>R60</p></section>",
+    "<div class='article-body'><h1>G5</h1><p>G25</p><p>G30</p></div><div class='comment'><p>R90</p></div><div class='comment'><p>R80</p></div>",
+    "<div><h1>G5</h1><p>G45</p><p>G30</p></div><div><p>R20</p></div><div><p>R18</p></div>",
+    "<article><h1>G5</h1><p>G45</p><p>G30</p><div><b>R1</b> R12</div></article>",
+    "<div class='cookie-banner'><p>R30</p><button>R2</button></div><main><h1>G4</h1><p>G50</p><p>G42</p></main><div class='modal'>R12</div>",
+    "<article><h1>G3</h1><p>G20</p><pre><code>G12</code></pre><p>G15</p></article>",
+    "<main><h1>G3</h1><dl><dt>G2</dt><dd>G20</dd><dt>G1</dt><dd>G18</dd></dl></main>",
+    "<article><h1>G3</h1><p><a>G12</a></p><p>G40</p></article><ul><li><a>R5</a><li><a>R6</a></ul>",
+    "<article><h1>G3</h1><p>G40</p><p>G25</p><p><a>G12</a></p></article>",
+    "<html><body><div id='nav'><a>R1</a></div><div id='text'><h1>G2</h1><p>G6</p></div></body></html>",
+    "<div role='alert'>R12</div><div role='main'><h2>G4</h2><p>G33</p><p>G29</p></div><div role='contentinfo'>R8</div>",
+    "<article><p>G30</p><p hidden>R10</p><p style='display:none'>R9</p><p>G22</p></article>",
+    "<article><h1>G6</h1><p class='byline'>R4</p><div class='social-share'><a>R1</a></div><p>G40</p><p>G35</p><div class='author-box related'>R25</div></article>",
     "<nav><a>R2</a></nav><h1>G5</h1><p>G44<ol><li>G12<li>G9 <a>G2</a><li>G7</ol><p>G39<footer><p>R20<p>R9</footer>",
 ]
 
