@@ -7,6 +7,7 @@ tables and returns rows that SQL over the same tables gives too.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -188,6 +189,8 @@ def source_rest_partitions(spark, sf):
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
+    """A table name of this application that no table has."""
+    name = f"{name}_{re.sub('[^A-Za-z0-9]', '_', spark.sparkContext.applicationId)}"
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return name
 
