@@ -106,14 +106,19 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _lean(run, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    libc = _libc()
+    _libc()
     try:
         yield from run(batches)
     finally:
-        _POWERS.clear()
-        pa.default_memory_pool().release_unused()
-        if libc:
-            libc.malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 @functools.cache

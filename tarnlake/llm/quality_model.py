@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, scratch, settle, slabs, span_hashes, word_bounds
+from .common import arrow, give_back, scratch, settle, slabs, span_hashes, word_bounds
 
 PER_CLASS = 1500
 #: Lines of each label from which no further document is taken: 1500 documents of 256 lines.
@@ -153,7 +153,8 @@ class Model:
 
     def scores(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         row, size, f = line_features(raw, bounds)
-        u = with_neighbours(row, f).astype(float) @ self.weights
+        # Summed row by row: a matrix product's last digits depend on a row's place in it.
+        u = (with_neighbours(row, f) * self.weights).sum(axis=1)
         fwd, bwd = forward_backward(row, u, self.stay, self.leave)
         good, weight = _sigmoid(fwd + u + bwd), np.maximum(size, 1)
         n = len(bounds) - 1
@@ -222,7 +223,10 @@ def _train(docs: DataFrame, labels: DataFrame, label: str, train_rows, per_class
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows=None, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents for which ``train_rows`` holds (all by default); leaves no intermediate table."""
     with scratch(docs.sparkSession):
-        return _train(docs, labels, label, train_rows, per_class)
+        try:
+            return _train(docs, labels, label, train_rows, per_class)
+        finally:
+            give_back()  # the driver held the features of the sample
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, scratch, settle, slabs
+from .common import arrow, give_back, scratch, settle, slabs
 
 BITS = 22
 BUCKETS = 1 << BITS
@@ -286,7 +286,10 @@ def _train(docs: DataFrame, labels: DataFrame, label: str, train_rows, per_class
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=None, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents for which ``train_rows`` holds (all by default); leaves no intermediate table."""
     with scratch(docs.sparkSession):
-        return _train(docs, labels, label, train_rows, per_class)
+        try:
+            return _train(docs, labels, label, train_rows, per_class)
+        finally:
+            give_back()  # the driver held the features of the sample
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
