@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, settle
@@ -36,6 +36,9 @@ BLOCK = 64
 #: How far beyond its end the pattern may look to end a pre-token there.
 LOOK_AHEAD = 3
 
+#: Hashes of doc_ids by which trees without an edit are told.
+SLOTS = 1 << 23
+
 #: (start, end, replacement) in characters of the text as it was.
 Edit = tuple[int, int, str]
 
@@ -47,6 +50,15 @@ class Block:
     counts: np.ndarray
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in a byte each where that holds them all, else in four."""
+    return x.astype("<u1" if x.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n if n else 1}").astype(np.int64)
+
+
 class TokenTree:
     def __init__(self, text: str, encoder: Encoder):
         self.encoder = encoder
@@ -56,17 +68,17 @@ class TokenTree:
 
     def dump(self) -> tuple[str, bytes, bytes, bytes, bytes]:
         """(text, lengths and counts of the pre-tokens, pre-tokens of the blocks, sums of the tree) to be kept."""
-        lengths, counts = (np.concatenate([np.zeros(0, np.int64), *(getattr(b, k) for b in self.blocks)]).astype("<u4") for k in ("lengths", "counts"))
+        lengths, counts = (_narrow(np.concatenate([np.zeros(0, np.int64), *(getattr(b, k) for b in self.blocks)])) for k in ("lengths", "counts"))
         sizes = np.array([len(b.lengths) for b in self.blocks], "<u4")
-        return self.text, lengths.tobytes(), counts.tobytes(), sizes.tobytes(), self.tree.astype("<i8").tobytes()
+        return self.text, lengths, counts, sizes.tobytes(), self.tree.astype("<i8").tobytes()
 
     @classmethod
     def load(cls, encoder: Encoder, text: str, lengths: bytes, counts: bytes, sizes: bytes, tree: bytes) -> TokenTree:
         """The tree that ``dump`` has kept; nothing is encoded or summed again."""
         self = cls.__new__(cls)
         self.encoder, self.reencoded = encoder, 0
-        n, k = (np.frombuffer(x, "<u4").astype(np.int64) for x in (lengths, counts))
         cuts = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
+        n, k = (_wide(x, int(cuts[-1]) if len(cuts) else 0) for x in (lengths, counts))
         at = np.concatenate([[0], np.cumsum(n)])
         starts = [0, *cuts[:-1].tolist()] if len(cuts) else []
         self.blocks = [Block(text[at[i] : at[j]], n[i:j], k[i:j]) for i, j in zip(starts, cuts.tolist(), strict=True)]
@@ -227,8 +239,14 @@ def apply(trees: DataFrame, edits: DataFrame, json_path: str | None = None, rank
     Adds n_tokens_before, n_pretokens_before, n_edits and n_reencoded (pre-tokens encoded again).
     """
     kind = trees.schema["doc_id"].dataType.simpleString()
-    own = edits.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("new"))).alias("edits"))
-    both = trees.join(own.withColumnRenamed("doc_id", "edited_id"), F.col("doc_id") == F.col("edited_id"), "left").drop("edited_id")
+    edits = edits.where("doc_id is not null").select(F.col("doc_id").alias("edited_id"), F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("new")).alias("e"))
+    own = edits.groupBy("edited_id").agg(F.collect_list("e").alias("edits"))
+    # Only trees that may have edits are moved to them: a bit for each hash of an edited doc_id, 1 MB in all.
+    bits = _bits(edits)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+    marked = trees.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bits_of"), "left")
+    marked = marked.withColumn("may", F.coalesce(_bit("bits", F.bitmap_bit_position(slot)), F.lit(False)) & F.col("doc_id").isNotNull()).drop("bits", "bits_of")
+    moved = marked.where("may").join(own, F.col("doc_id") == F.col("edited_id"), "left").drop("edited_id", "may")
     counted = "n_tokens_before long, n_pretokens_before long, n_edits long, n_reencoded long"
 
     def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +262,24 @@ def apply(trees: DataFrame, edits: DataFrame, json_path: str | None = None, rank
             more = [batch.column("n_tokens"), batch.column("n_pretokens"), pa.array(n, pa.int64()), pa.array([t.reencoded for t in changed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, *(c.split()[0] for c in counted.split(", "))])
 
-    touched = arrow(both.where("edits is not null"), edited, f"doc_id {kind}, {_TREE}, {counted}")
+    touched = arrow(moved.where("edits is not null"), edited, f"doc_id {kind}, {_TREE}, {counted}")
     zero = F.lit(0).cast("long")
-    same = both.where("edits is null").drop("edits")
+    same = marked.where("not may").drop("may").unionByName(moved.where("edits is null").drop("edits"))
     same = same.withColumns({"n_tokens_before": F.col("n_tokens"), "n_pretokens_before": F.col("n_pretokens"), "n_edits": zero, "n_reencoded": zero})
     return touched.unionByName(same)
 
 
+def _bits(edits: DataFrame) -> DataFrame:
+    """bits_of, bits: for every 32,768 of the ``SLOTS`` hashes, which of them an edited_id has."""
+    slot = F.pmod(F.xxhash64("edited_id"), F.lit(SLOTS)) + 1
+    return edits.groupBy(F.bitmap_bucket_number(slot).alias("bits_of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def _bit(bits: str, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1
+
+
 def edits_of(docs: DataFrame, find: Callable[[str], Sequence[Edit]]) -> DataFrame:
     """The edits table (doc_id, start, end, replacement) that a function finds for each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
