@@ -187,8 +187,9 @@ def impossible_travel(df: DataFrame, key: str, ts: str, city: str, speed: float
 
 
 def late_events(df: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
-    """Events older than one of their key that arrived before them."""
-    w = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    """Events older than one of their key that arrived before them; of events that arrive at once none is before another."""
+    # By time among equal arrivals, where an event finds only older ones ahead of it, whatever order the rows come in.
+    w = Window.partitionBy(key).orderBy(arrival, ts).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_seen", F.max(ts).over(w)).where(F.col(ts) < F.col("_seen")).drop("_seen")
 
 

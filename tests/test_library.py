@@ -398,6 +398,13 @@ def test_fraud_batches_equal_single_events(events, cut):
     assert got == one_at_a_time(events, config)
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_late_events_that_arrive_at_once(spark, turn):
+    rows = [("u", 30, 1), ("u", 20, 2), ("u", 50, 3), ("u", 40, 3), ("u", 45, 4), ("v", 10, 3), ("v", 5, 3)][::turn]
+    got = fraud.late_events(spark.createDataFrame(rows, "k string, ts int, at int").coalesce(1), "k", "ts", "at")
+    assert sorted((r["k"], r["ts"]) for r in got.collect()) == [("u", 20), ("u", 45)]
+
+
 def test_stream_summary(spark):
     events = spark.createDataFrame([(i,) for i in "aabcdda"], "transaction_id string")
     found = spark.createDataFrame([("a", "VELOCITY", False), ("b", None, True), ("c", "HIGH_VALUE", True), ("c", "VELOCITY", True)], "transaction_id string, rule string, is_late boolean")
