@@ -489,47 +489,56 @@ _ALERTS = f"""{_GEO}, e AS (SELECT event_id, user_id, ts, value, city, lat, lon,
 _RULES = fraud.FraudConfig(high_value=200.0, window_seconds=21600, max_events=3)
 
 
-def _stream_events(spark, sf, parts: int = 4) -> tuple[DataFrame, str]:
-    """The events in order of time, as JSON files that a stream reads one after the other; every fifth comes twice."""
+#: Rows to a file of the streams' input, about.
+_FILE_ROWS = 500_000
+
+
+def _stream_events(spark, sf, parts: int = 4) -> tuple[DataFrame, str, int]:
+    """The events in order of time, as JSON files that a stream reads part by part; every fifth comes twice.
+
+    Also the files of each part, the same number for all: a stream that takes so many at a time takes one part.
+    """
     d = t(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("customer_id"), F.lit("A").alias("account_id"), F.col("value").alias("amount"),
         F.lit("USD").alias("currency"), F.lit("M").alias("merchant"), F.expr(_CITY).alias("city"), F.col("ts").cast("timestamp").alias("timestamp"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"),
     )
     d = d.unionByName(d.where("bigint(transaction_id) % 5 = 0").withColumn("seq", F.col("seq") + 1))
     folder = work_dir(spark, "events")
-    cuts = d.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
+    n, cuts = d.agg(F.count("*"), F.percentile_approx("seq", [i / parts for i in range(1, parts)])).first()
+    files = max(1, n // (parts * _FILE_ROWS))
     for k, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         part = d.where((F.lit(True) if lo is None else F.col("seq") > lo) & (F.lit(True) if hi is None else F.col("seq") <= hi))
-        part.coalesce(1).write.mode("append").json(f"{folder}/batch-{k}")
-    return d, f"{folder}/*"
+        # Rows are dealt out in turn, so that no file stays without rows and is left out.
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").json(f"{folder}/batch-{k}")
+    return d, f"{folder}/*", files
 
 
 @query(f"WITH {_ALERTS} SELECT event_id, rule FROM alerts")
 def stream_fraud_alerts(spark, sf):
     """The stateful rules as a stream over files: de-duplication, state by customer, alerts into a Parquet sink."""
-    _, folder = _stream_events(spark, sf)
+    _, folder, files = _stream_events(spark, sf)
     out = work_dir(spark, "alerts")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream_alerts(ev.file_stream(spark, folder, 1), out, f"{out}-checkpoint", _RULES, within=None).awaitTermination()
+    stream_alerts(ev.file_stream(spark, folder, files), out, f"{out}-checkpoint", _RULES, within=None).awaitTermination()
     return spark.read.parquet(out).where("rule is not null").select(F.col("transaction_id").cast("long").alias("event_id"), "rule")
 
 
 @query(f"WITH {_ALERTS} SELECT (SELECT COUNT(*) FROM events) AS processed, (SELECT COUNT(*) FROM events WHERE event_id % 5 = 0) AS duplicates, COUNT(*) AS alerts, COUNT(*) FILTER (rule = 'HIGH_VALUE') AS high_value, COUNT(*) FILTER (rule = 'VELOCITY') AS velocity, COUNT(*) FILTER (rule = 'IMPOSSIBLE_TRAVEL') AS impossible_travel FROM alerts")
 def stream_summary(spark, sf):
     """What a stream has consumed: processed, duplicate and late events, and alerts of each rule."""
-    arrived, folder = _stream_events(spark, sf)
+    arrived, folder, files = _stream_events(spark, sf)
     out = work_dir(spark, "alerts")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream_alerts(ev.file_stream(spark, folder, 1), out, f"{out}-checkpoint", _RULES, within=None).awaitTermination()
+    stream_alerts(ev.file_stream(spark, folder, files), out, f"{out}-checkpoint", _RULES, within=None).awaitTermination()
     return fraud.summary(arrived, spark.read.parquet(out)).drop("late")
 
 
 @query("SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day FROM events UNION ALL SELECT event_id, CAST(year(ts) AS INTEGER), CAST(month(ts) AS INTEGER), CAST(day(ts) AS INTEGER) FROM events WHERE event_id % 5 = 0")
 def stream_archive(spark, sf):
     """Every event that arrives, appended by year, month and day."""
-    _, folder = _stream_events(spark, sf)
+    _, folder, files = _stream_events(spark, sf)
     out = work_dir(spark, "archive")
-    ev.archive_stream(ev.file_stream(spark, folder, 2), out, f"{out}-checkpoint", trigger={"availableNow": True}).awaitTermination()
+    ev.archive_stream(ev.file_stream(spark, folder, 2 * files), out, f"{out}-checkpoint", trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(out).select(F.col("transaction_id").cast("long").alias("event_id"), "year", "month", "day")
 
 

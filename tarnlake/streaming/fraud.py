@@ -12,8 +12,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,6 +32,7 @@ class FraudConfig:
 RULES = ("HIGH_VALUE", "VELOCITY", "IMPOSSIBLE_TRAVEL")
 ALERT = "transaction_id string, customer_id string, rule string, severity string, detail string"
 SCORED = f"{ALERT}, is_late boolean"
+_Scored = Row("transaction_id", "customer_id", "rule", "severity", "detail", "is_late")
 EVENT = "transaction_id string, customer_id string, account_id string, amount double, currency string, merchant string, city string, timestamp timestamp"
 
 
@@ -105,32 +105,28 @@ class FraudProcessor(StatefulProcessor):
         """Milliseconds at which the state may go."""
         return int((newest + self.config.forget_hours * 3600) * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self._ends(self.state.get()[3]) <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.state.get()
+        if kept is not None and self._ends(kept[3]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-        yield pd.DataFrame({c: [] for c in ("transaction_id", "customer_id", "rule", "severity", "detail", "is_late")})
+        return iter(())
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = CustomerState([])
-        if self.state.exists():
-            recent, at, city, newest = self.state.get()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Most calls hold a few rows, so what a call costs counts: plain rows, no data frames, and the state is read once.
+        s, kept = CustomerState([]), self.state.get()
+        if kept is not None:
+            recent, at, city, newest = kept
             s = CustomerState(list(recent), None if at is None else (at, city), newest)
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable", ignore_index=True)
-        times = (frame["timestamp"].dt.as_unit("us").astype("int64") / 1e6).to_numpy()
-        late, alerts = s.score_batch(times, frame["amount"].to_numpy(float), frame["city"].to_numpy(object), self.config)
+        events = sorted(rows, key=lambda e: e["seq"])
+        late, alerts = s.score_batch(*(np.array([e[c] for e in events], k) for c, k in (("at", float), ("amount", float), ("city", object))), self.config)
         self.state.update((s.recent, s.place[0] if s.place else None, s.place[1] if s.place else None, s.newest))
         if self.timers:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(self._ends(s.newest))
-        found = pd.DataFrame(alerts, columns=["event", "rule", "severity", "detail"])
-        quiet = np.setdiff1d(np.flatnonzero(late), found["event"].to_numpy(int))
-        found = pd.concat([found, pd.DataFrame({"event": quiet, "rule": None, "severity": None, "detail": None})]) if len(quiet) else found
-        event = found.pop("event").to_numpy(int)
-        found.insert(0, "transaction_id", frame["transaction_id"].to_numpy()[event])
-        found.insert(1, "customer_id", key[0])
-        found["is_late"] = late[event]
-        yield found
+        loud = {i for i, *_ in alerts}
+        found = alerts + [(i, None, None, None) for i in np.flatnonzero(late).tolist() if i not in loud]
+        return iter([_Scored(events[i]["transaction_id"], key[0], *alert, bool(late[i])) for i, *alert in found])
 
     def close(self) -> None:
         pass
@@ -153,8 +149,10 @@ def alerts(events: DataFrame, config: FraudConfig = FraudConfig(), within: str |
 
     Without ``within`` there is no watermark: no event is dropped, and no state ever is.
     """
-    d = drop_duplicates(events, within=within)
-    return d.groupBy("customer_id").transformWithStateInPandas(FraudProcessor(config, within is not None), SCORED, "Append", "None" if within is None else "EventTime")
+    # Only what the rules need goes to Python; of the time, seconds as a number, and the column with the watermark where there is one.
+    at = F.coalesce(F.unix_micros("timestamp"), F.lit(-(1 << 63))) / F.lit(1e6)
+    d = drop_duplicates(events, within=within).withColumn("at", at).select("transaction_id", "customer_id", "amount", "city", "seq", "at", *["timestamp"] * (within is not None))
+    return d.groupBy("customer_id").transformWithState(FraudProcessor(config, within is not None), SCORED, "Append", "None" if within is None else "EventTime")
 
 
 def windowed_counts(events: DataFrame, ts: str = "timestamp", size: str = "5 minutes", slide: str | None = None, late: str = "10 minutes", *keys: str) -> DataFrame:

@@ -18,6 +18,7 @@ from tarnlake.control import ControlStore, Settings, checksum, retry
 from tarnlake.errors import LakeError, NonRetryableError, QualityError, RetryableError, SchemaError
 from tarnlake.functions import expressions as fx
 from tarnlake.operators import aggregate, joins, project, quality, scd, star, windows
+from tarnlake.plans import catalogue_io
 from tarnlake.plans.pipelines import Step, Workflow, batch, incremental, land, stream_alerts
 from tarnlake.sinks import VersionedTable, quarantine, write_zone, zone_path
 from tarnlake.sources import files
@@ -412,6 +413,17 @@ def test_stream_summary(spark):
     assert fraud.summary(events, found, events.where("transaction_id = 'a'")).first()["duplicates"] == 4
 
 
+def test_stream_of_several_files_a_part(spark, sf, monkeypatch):
+    want = sorted(tuple(r) for r in catalogue_io.stream_fraud_alerts(spark, sf).collect())
+    monkeypatch.setattr(catalogue_io, "_FILE_ROWS", 60)
+    d, folder, files = catalogue_io._stream_events(spark, sf)
+    parts = [spark.read.json(f"{folder[:-1]}batch-{k}") for k in range(4)]
+    assert files > 2 and [len(p.inputFiles()) for p in parts] == [files] * 4
+    spans = [p.agg(F.min("seq"), F.max("seq")).first() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(p.count() for p in parts) == d.count()
+    assert sorted(tuple(r) for r in catalogue_io.stream_fraud_alerts(spark, sf).collect()) == want and want
+
+
 def test_lookup_broadcasts_by_bytes(spark, tmp_path):
     spark.range(1000).selectExpr("id as k", "id * 2 as v").write.parquet(f"{tmp_path}/d")
     d, facts = spark.read.parquet(f"{tmp_path}/d"), spark.range(5000).selectExpr("id as k")
