@@ -12,8 +12,12 @@ classes are compared with one pivot first; only where a list still spans several
 classes of different components compared, after size and position bounds, with exact verification.
 The size up to which sets go the light way is the one with the least estimated cost.
 
+Most classes share too little with all others together to have a partner, and leave before their shingles
+are sent: of a sample of the shingles by hash, the same for all classes, a class with a partner shares
+all but as many as it may lack of its whole set. Only classes of which that holds go on; none with a link is lost.
+
 Shingles travel as packed blocks of 6-byte hashes dealt by hash range, about ``RANGE`` shingles to a
-range. Shingles of more than ``FREQUENT`` of the classes are known from partial counts, need no list to
+range. With many ranges each shingle has its class's key beside it, so it is the sample that keeps what is sent small. Shingles of more than ``FREQUENT`` of the classes are known from partial counts, need no list to
 tell that they are shared, and are dealt by class instead, so that no task gathers the postings of a
 hot shingle. The lists that remain are reduced to (component, bounds) before they are joined.
 
@@ -145,8 +149,131 @@ def _spread(x: np.ndarray, ranges: int) -> np.ndarray:
     return ((x >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
-def _blocks(words: int, ranges: int, frequent: np.ndarray):
-    """Packed shingles by hash range: of each class in it the key, the set's size, how many and which.
+def _lack(n: int, t: int = THRESHOLD) -> int:
+    """How many of its n shingles a set that links may miss in its partner, at most."""
+    return n - need(n, -(-t * n // 100), t)
+
+
+def _share(t: int) -> float:
+    """Share of the shingles in the sample: twice what a set may lack, so that half of its sample tells."""
+    return min(1.0, 2 * (100 - t) / 100)
+
+
+def _sampled(words: int, t: int, ranges: int, frequent: np.ndarray):
+    """Packed sampled shingles by hash range, and of each class how many of them others must have (in ranges of their own).
+
+    Frequent shingles are not sent: all are taken as shared.
+    """
+    below = np.uint64(min(int(_share(t) * (1 << 32)), 1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, bounds in slabs(batches, "text", SLAB):
+            g, ends = shingle_sets(raw, bounds, words)
+            keys, sizes = set_keys(g, ends), np.diff(ends)
+            _, first = np.unique(keys, return_index=True)
+            first = first[sizes[first] > 0]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            use = np.zeros(len(sizes), bool)
+            use[first] = True
+            some = use[row] & ((mix(g * _ODD[2]) >> np.uint64(32)) < below)
+            if len(frequent):
+                some &= frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] != g
+            g, row = g[some], row[some]
+            must = np.bincount(row, minlength=len(sizes))[first] - np.array([_lack(n, t) for n in sizes[first].tolist()], np.int64)
+            out = {k: [] for k in ("p", "keys", "counts", "tokens")}
+
+            def put(p, key, count, token):
+                for k, x in zip(out, (int(p), key.tobytes(), count.astype(np.int32).tobytes(), token), strict=True):
+                    out[k].append(x)
+
+            part = _spread(g, ranges)
+            order = np.argsort(part, kind="stable")
+            g, row, part = g[order], row[order], part[order]
+            packed = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :6])
+            for a, b in runs(part):
+                at = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
+                put(part[a], keys[row[a:b][at]], np.diff([*at, b - a]), packed[a:b].tobytes())
+            own = _spread(mix(keys[first].view(np.uint64) * _ODD[2]), ranges)
+            order = np.argsort(own, kind="stable")
+            first, must, own = first[order], must[order], own[order]
+            for a, b in runs(own):
+                put(ranges + own[a], keys[first[a:b]], must[a:b], None)
+            kinds = [pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return run
+
+
+def _sharing(ranges: int):
+    """Of each hash range, how many shingles of each class another one has; what a class must have is counted below zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, rows in _by_range(batches, ("p", "keys", "counts", "tokens")):
+            counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
+            key = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
+            if p >= ranges:
+                key, first = np.unique(key, return_index=True)  # copies in other slabs must have the same
+                count = -counts[first]
+            else:
+                token = np.concatenate([_unpack6(r["tokens"]) for r in rows])
+                key = np.repeat(key, counts)
+                order = np.lexsort((key, token))
+                token, key = token[order], key[order]
+                new = np.ones(len(token), bool)
+                new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+                token, key = token[new], key[new]
+                same = token[1:] == token[:-1]
+                both = np.zeros(len(token), bool)
+                both[1:] |= same
+                both[:-1] |= same
+                key, count = np.unique(key[both], return_counts=True)
+            rows.clear()
+            q = _spread(mix(key.view(np.uint64) * _ODD[2]), ranges)
+            order = np.argsort(q, kind="stable")
+            key, count, q = key[order], count[order].astype(np.int32), q[order]
+            out = [(int(q[a]), key[a:b].tobytes(), count[a:b].tobytes()) for a, b in runs(q)]
+            kinds = [pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["q", "keys", "counts"])
+
+    return run
+
+
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of the classes that share as many sampled shingles as they must."""
+    for _, rows in _by_range(batches, ("q", "keys", "counts")):
+        key, at = np.unique(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), return_inverse=True)
+        left = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]), minlength=len(key))
+        yield pa.RecordBatch.from_arrays([pa.array(key[left >= 0])], names=["h"])
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of a Bloom filter to each key."""
+    return np.stack([mix(keys.view(np.uint64) * x + y) % np.uint64(bits) for x, y in zip(_ODD[:3], _ODD[2:], strict=True)], axis=1).astype(np.int64)
+
+
+def _bloom(keys: DataFrame, each: int = 12) -> np.ndarray:
+    """A Bloom filter of the keys ``h``, ``each`` bits to a key, as bytes. One key in a hundred passes without being among them."""
+    bits = max(1, -(-keys.count() * each // 32768)) * 32768
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(np.array(batch.column("h"), np.int64), bits).ravel())], names=["at"])
+
+    at = arrow(keys, run, "at long")
+    maps = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits")).collect()
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for m in maps:
+        out[m["page"]] = np.frombuffer(m["bits"], np.uint8)
+    return out.ravel()
+
+
+def _among(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _places(keys, len(bloom) * 8)
+    return ((bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _blocks(words: int, ranges: int, frequent: np.ndarray, bloom: np.ndarray):
+    """Packed shingles of the classes in ``bloom`` by hash range: of each class in it the key, the set's size, how many and which.
 
     Frequent shingles go to ranges of their own, by class and as their number in ``frequent``.
     """
@@ -157,6 +284,7 @@ def _blocks(words: int, ranges: int, frequent: np.ndarray):
             keys, sizes = set_keys(g, ends), np.diff(ends)
             # A copy within the slab adds nothing; empty sets have no shingle.
             _, first = np.unique(keys, return_index=True)
+            first = first[_among(bloom, keys[first])]
             row = np.repeat(np.arange(len(sizes)), sizes)
             use = np.zeros(len(sizes), bool)
             use[first] = True
@@ -263,7 +391,7 @@ def _prefixes(t: int):
             for a, b in runs(key):
                 n = int(size[a])
                 alone = n - (b - a)  # shingles of this class only: they come first in the order
-                length = n - need(n, -(-t * n // 100), t) + 1
+                length = _lack(n, t) + 1
                 if alone < length:
                     out["h"].append(int(key[a]))
                     out["n"].append(n)
@@ -347,12 +475,17 @@ def links(docs: DataFrame, words: int = WORDS, t: int = THRESHOLD) -> tuple[Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = settle(arrow(docs, _sets(words, t), f"doc_id {kind}, n long, h long, tokens array<long>, seen array<struct<token:long,k:long>>"), "sets")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = min(max(1, -(-total // RANGE)), 1 << 24)
+    number = lambda n: min(max(1, int(-(-n // RANGE))), 1 << 24)
     classes = rows.agg(F.approx_count_distinct("h")).first()[0]
     often = rows.select(F.explode("seen").alias("s")).groupBy("s.token").agg(F.sum("s.k").alias("k")).where(F.col("k") >= max(FREQUENT_LEAST, FREQUENT / 2 * classes))
     frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
     known = docs.where("doc_id is not null")
-    blocks = arrow(known, _blocks(words, ranges, frequent), _BLOCK)
+    ranges = number(total * _share(t))
+    sample = arrow(known, _sampled(words, t, ranges, frequent), "p int, keys binary, counts binary, tokens binary")
+    sharing = arrow(sample.repartition(max(ranges, 2), "p"), _sharing(ranges), "q int, keys binary, counts binary")
+    able = settle(arrow(sharing.repartition(max(ranges, 2), "q"), _enough, "h long"), "able")
+    ranges = number(rows.join(able, "h", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    blocks = arrow(known, _blocks(words, ranges, frequent, _bloom(able)), _BLOCK)
     shared = arrow(blocks.repartition(max(ranges, 2), "p"), _shared(ranges), "q int, p int, keys binary, sizes binary, counts binary, tokens binary, df binary")
     heavy = settle(arrow(shared.repartition(max(ranges, 2), "q"), _prefixes(t), "h long, n long, tokens binary, prefix array<long>, skipped long"), "prefixes")
 

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnlake.llm import jaccard_join as jj
@@ -115,3 +116,31 @@ def test_sets_do_not_depend_on_the_slab():
     g, ends = jj.shingle_sets(raw, bounds)
     k = jj.set_keys(g, ends)
     assert k[0] == k[3] and k[2] == 0 and np.diff(ends).tolist() == [3, 1, 0, 3]
+
+
+def test_what_is_sent_stays_small_with_many_ranges():
+    """With a range to each few shingles, as over many gigabytes, every shingle has a class's key beside it."""
+    r = random.Random(4)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(300)) for _ in range(60)]
+    texts += family(r, texts[0], 3, 5)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    ranges, none = 9000, np.zeros(0, np.uint64)
+    sample = list(jj._sampled(4, 85, ranges, none)([batch]))
+    able = {h for x in jj._enough(jj._sharing(ranges)(sample)) for h in x.column("h").to_pylist()}
+    g, ends = jj.shingle_sets(np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    keys = jj.set_keys(g, ends).tolist()
+    assert able == {keys[0], *keys[60:]}
+    bits = 32768
+    bloom = np.zeros(bits, np.uint8)
+    bloom[jj._places(np.array(sorted(able)), bits).ravel()] = 1
+    bloom = np.packbits(bloom, bitorder="little")
+    assert jj._among(bloom, np.array(keys)).tolist() == [k in able for k in keys]
+    blocks = list(jj._blocks(4, ranges, none, bloom)([batch]))
+    size = sum(len(x or b"") for b in sample + blocks for c in b.columns[1:] for x in c.to_pylist())
+    assert size < 10 * len(g)
+
+
+def test_filter_keeps_all_keys(spark):
+    keys = [(x * 7919 - 10**6) * 10**11 for x in range(5000)]
+    bloom = jj._bloom(spark.createDataFrame([(k,) for k in keys], "h long"))
+    assert jj._among(bloom, np.array(keys)).all() and jj._among(bloom, np.array(keys) + 1).mean() < 0.03
